@@ -14,7 +14,6 @@ a null id stays null; empty tables give empty results; other columns are not rea
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import filter_texts, map_texts, record
+from millrace.llm.words import byte_values, mix, prefix_hash, span_hash
 
 UNKNOWN = "und"
 PER_LANGUAGE, MAX_LANGUAGES = 3000, 1000
@@ -45,12 +45,25 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def gram_numbers(word: str) -> list[int]:
-    padded = f"_{word}_"
-    out = [zlib.crc32(f"={word}".encode()) & ((1 << BITS) - 1)]
-    for n in ORDERS:
-        out += [zlib.crc32(padded[i : i + n].encode()) & ((1 << BITS) - 1) for i in range(len(padded) - n + 1)]
-    return out
+def gram_numbers(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte n-grams of the words, each word between underscores, and of whole words; and each gram's word."""
+    coded = [w.encode() for w in words]
+    data = np.frombuffer(b"_" + b"__".join(coded) + b"_", np.uint8)
+    size = np.fromiter(map(len, coded), np.int64, len(coded)) + 2
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    room = end[owner] - np.arange(len(data))
+    value = byte_values(data)
+    h, grams, owners = np.zeros(len(data), np.uint64), [], []
+    for n in range(1, max(ORDERS) + 1):
+        h[: len(data) - n + 1] = h[: len(data) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + value[n - 1 :]
+        if n in ORDERS:
+            at = np.flatnonzero(room >= n)
+            grams.append(mix(h[at] + np.uint64(n)) >> np.uint64(64 - BITS))
+            owners.append(owner[at])
+    grams.append(span_hash(prefix_hash(value), end - size, end) >> np.uint64(64 - BITS))
+    owners.append(np.arange(len(words)))
+    return np.concatenate(grams).astype(np.int64), np.concatenate(owners)
 
 
 class Model:
@@ -62,13 +75,16 @@ class Model:
         letters = sum(scripts.values()) if scripts else np.zeros(len(languages))
         self.uses = {s: n >= 0.01 * np.maximum(letters, 1) for s, n in scripts.items()}
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Each language's log-likelihood against the best, cut at -CLIP; languages without the word's script get -2 CLIP."""
-        ok = self.uses.get(script_of(word))
-        if ok is None or not ok.any():
-            return np.zeros(len(self.languages), np.float32)
-        s = self.log[:, gram_numbers(word)].sum(1)
-        return np.where(ok, np.maximum(s - s[ok].max(), -CLIP), -2 * CLIP).astype(np.float32)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Each language's log-likelihood of each word against the best, cut at -CLIP; languages without the word's script get -2 CLIP."""
+        none = np.zeros(len(self.languages), bool)
+        ok = np.array([self.uses.get(script_of(w), none) for w in words])
+        gram, owner = gram_numbers(words)
+        s = np.stack([np.bincount(owner, weights=row[gram], minlength=len(words)) for row in self.log], 1)
+        top = np.where(ok, s, -np.inf).max(1, keepdims=True)
+        known = ok.any(1, keepdims=True)
+        s = np.where(ok, np.maximum(s - np.where(known, top, 0), -CLIP), -2 * CLIP)
+        return np.where(known, s, 0).astype(np.float32)
 
 
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
@@ -99,20 +115,25 @@ class Labeller:
     def __init__(self, model: Model, penalty: float = SWITCH):
         self.model, self.penalty = model, penalty
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(model.languages))), np.float32)
-
-    def label(self, text: str | None) -> tuple[str, float, list[dict]]:
-        words = words_of(text) if text and self.model.languages else []
+        self.rows = np.zeros((0, len(model.languages)), np.float32)
+
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
+        """The words that the texts have new are scored together."""
+        words = [words_of(t) if t and self.model.languages else [] for t in texts]
+        new = list(set().union(*words).difference(self.memo))
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list(set().union(*words))
+        if new:
+            base = len(self.memo)
+            self.memo.update(zip(new, range(base, base + len(new)), strict=True))
+            self.rows = np.concatenate((self.rows[:base], self.model.word_scores(new)))
+        return [self._label(w) for w in words]
+
+    def _label(self, words: list[str]) -> tuple[str, float, list[dict]]:
         if not words:
             return UNKNOWN, 0.0, []
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            i = memo[w] = len(memo)
-            if i >= len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[i] = self.model.word_score(w)
         at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         s = self.rows[at]
         label = viterbi(s, self.penalty)
@@ -147,9 +168,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 words[number[lang]].update(words_of(text))
             for k, found in enumerate(words):
+                if found:
+                    gram, owner = gram_numbers(list(found))
+                    n[k] += np.bincount(gram, weights=np.fromiter(found.values(), np.int64, len(found))[owner], minlength=1 << BITS).astype(np.int64)
                 for w, times in found.items():
-                    for g in gram_numbers(w):
-                        n[k, g] += times
                     letters.setdefault(script_of(w), np.zeros(len(languages), np.int64))[k] += len(w) * times
         i, j = np.nonzero(n)
         yield record(lang=pa.array(i, pa.int32()), gram=pa.array(j, pa.int32()), script=pa.array([None] * len(i), pa.string()), n=pa.array(n[i, j], pa.int64()))
@@ -174,7 +196,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, id_col: str
         labeller = Labeller(sent.value, penalty)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            out = [labeller.label(t) for t in part.column("text").to_pylist()]
+            out = labeller.labels(part.column("text").to_pylist())
             return record(doc_id=part.column("doc_id"), lang_pred=pa.array([x[0] for x in out], pa.string()), score=pa.array([x[1] for x in out], pa.float64()),
                           spans=pa.array([x[2] for x in out], pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))))
 
@@ -191,10 +213,6 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, penalty: float
     def make():
         labeller = Labeller(sent.value, penalty)
 
-        def known(t: str | None) -> bool:
-            lang, score, _ = labeller.label(t)
-            return lang != UNKNOWN and score >= least
-
-        return lambda part: [known(t) for t in part.column(text_col).to_pylist()]
+        return lambda part: [lang != UNKNOWN and score >= least for lang, score, _ in labeller.labels(part.column(text_col).to_pylist())]
 
     return filter_texts(docs, make, text_col)

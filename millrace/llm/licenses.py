@@ -34,6 +34,7 @@ NOTICES = (
     ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license", 0.8),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.8),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", 0.8),
+    ("gpl", "licensed under the gnu general public license version", 0.85),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.85),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.8),
     ("unlicense", "this is free and unencumbered software released into the public domain", 0.85),
