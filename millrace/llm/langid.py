@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,27 +88,35 @@ class Model:
         return np.where(known, s, 0).astype(np.float32)
 
 
+def settled(s: np.ndarray, first: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
+    """Texts in which no stretch of another language gains more than one switch costs: their best single language is optimal.
+
+    s: scores of all words; first: each text's first word (n + 1, no text empty); best: each text's language."""
+    n = len(best)
+    owner = np.repeat(np.arange(n), np.diff(first))
+    gain = s.astype(np.float64) - s[np.arange(len(s)), best[owner]][:, None]
+    after = np.cumsum(gain, 0)
+    apart = (owner * (4 * CLIP * (len(s) + 1)))[:, None]  # lowers each text below all before it, so that minima start anew
+    before = after - gain
+    rise = after - (np.minimum.accumulate(before - apart, 0) + apart)
+    return np.maximum.reduceat(rise.max(1), first[:-1]) <= penalty
+
+
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     """Labels with the largest sum of scores less penalties."""
-    n, k = s.shape
-    total = s.sum(0)
-    best = int(total.argmax())
-    # no stretch of another language gains as much as one switch costs: the best single language is optimal
-    gain = np.cumsum(np.concatenate((np.zeros((1, k)), s - s[:, best : best + 1])), 0)
-    if ((gain - np.minimum.accumulate(gain, 0)).max(0) <= penalty).all():
-        return np.full(n, best)
-    back = np.zeros((n, k), np.int16)
-    v = s[0].astype(np.float64)
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(v.argmax())
-        stay = v >= v[top] - penalty
-        back[t] = np.where(stay, own, top)
-        v = np.where(stay, v, v[top] - penalty) + s[t]
-    out = np.zeros(n, np.int64)
-    out[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    v, back = s[0].tolist(), []
+    for row in s[1:].tolist():
+        top = max(v)
+        least = top - penalty
+        back.append((v.index(top), [x >= least for x in v]))
+        v = [(x if x >= least else least) + y for x, y in zip(v, row, strict=True)]
+    out = np.zeros(len(s), np.int64)
+    k = out[-1] = v.index(max(v))
+    for t in range(len(back) - 1, -1, -1):
+        top, stay = back[t]
+        if not stay[k]:
+            k = top
+        out[t] = k
     return out
 
 
@@ -116,9 +125,10 @@ class Labeller:
         self.model, self.penalty = model, penalty
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)), np.float32)
+        self.size = np.zeros(0, np.int64)
 
     def labels(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
-        """The words that the texts have new are scored together."""
+        """Language, score and spans of each text; new words are scored together."""
         words = [words_of(t) if t and self.model.languages else [] for t in texts]
         new = list(set().union(*words).difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
@@ -128,23 +138,36 @@ class Labeller:
             base = len(self.memo)
             self.memo.update(zip(new, range(base, base + len(new)), strict=True))
             self.rows = np.concatenate((self.rows[:base], self.model.word_scores(new)))
-        return [self._label(w) for w in words]
-
-    def _label(self, words: list[str]) -> tuple[str, float, list[dict]]:
-        if not words:
-            return UNKNOWN, 0.0, []
-        memo = self.memo
-        at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        s = self.rows[at]
+            self.size = np.concatenate((self.size[:base], np.fromiter(map(len, new), np.int64, len(new))))
+        out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, [])] * len(texts)
+        full = [i for i, w in enumerate(words) if w]
+        if not full:
+            return out
+        first = np.concatenate(([0], np.cumsum([len(words[i]) for i in full])))
+        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, first[-1])
+        s, size = self.rows[at], self.size[at]
+        total = np.add.reduceat(s, first[:-1], axis=0, dtype=np.float64)
+        best = total.argmax(1)
+        one = settled(s, first, best, self.penalty)
+        alone = 1 / np.exp(np.clip(total - total[np.arange(len(full)), best][:, None], -700, 0)).sum(1)
+        for k, i in enumerate(full):
+            a, b = int(first[k]), int(first[k + 1])
+            if one[k]:
+                name = self.model.languages[best[k]]
+                out[i] = name, float(alone[k]), [{"lang": name, "first_word": 0, "end_word": b - a}]
+            else:
+                out[i] = self._mixed(s[a:b], size[a:b])
+        return out
+
+    def _mixed(self, s: np.ndarray, size: np.ndarray) -> tuple[str, float, list[dict]]:
         label = viterbi(s, self.penalty)
-        letters = np.fromiter(map(len, words), np.int64, len(words))
-        share = np.bincount(label, weights=letters, minlength=s.shape[1])
+        share = np.bincount(label, weights=size, minlength=s.shape[1])
         best = int(share.argmax())
         evidence = s[label == best].sum(0, dtype=np.float64)
         posterior = 1 / np.exp(np.clip(evidence - evidence[best], -700, 30)).sum()
         cut = np.concatenate(([0], np.flatnonzero(np.diff(label)) + 1, [len(label)]))
         spans = [{"lang": self.model.languages[label[a]], "first_word": a, "end_word": b} for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return self.model.languages[best], float(min(1.0, share[best] / letters.sum() * posterior)), spans
+        return self.model.languages[best], float(min(1.0, share[best] / size.sum() * posterior)), spans
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
