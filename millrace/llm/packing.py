@@ -34,7 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPLIT = regex.compile(PATTERN)
 #: Characters whose classes no Unicode version disputes; other texts go whole through the library.
 _PLAIN = re.compile("[\t\n\f\r -~¡-ɏ‐-‧]*")
-MEMO, LONGEST = 250_000, 64
+#: Pre-tokens that a task remembers, besides those of the slice at hand.
+MEMO = 250_000
 
 
 class ByteEncoder:
@@ -51,22 +52,24 @@ class ByteEncoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
-        parts, memo = _SPLIT.findall(text), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, parts))
-        except KeyError:
-            pass
-        new = list({p for p in parts if p not in memo})
-        if len(memo) + len(new) > MEMO:
+    def _encode_parts(self, new: list[str]) -> list[bytes]:
+        """Each pre-token's ids, by one call for all."""
+        one = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+        data = self._bytes(one.ids)
+        size = np.bincount(np.array(one.word_ids, np.int64), minlength=len(new)) if len(data) else np.zeros(len(new), np.int64)
+        cut = [0, *(4 * np.cumsum(size)).tolist()]
+        return [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        parts = [_SPLIT.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        every, memo = set().union(*parts), self.memo
+        if len(memo) + len(every) > MEMO:
             memo.clear()
-            new = list(set(parts))
-        own = {p: self._bytes(e.ids) for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-        out = b"".join([own[p] if p in own else memo[p] for p in parts])
-        memo.update((p, x) for p, x in own.items() if len(p) <= LONGEST)
-        return out
+        if new := list(every.difference(memo)):
+            memo.update(zip(new, self._encode_parts(new), strict=True))
+        get = memo.__getitem__
+        return [b"".join(map(get, p)) if ok else self._bytes(self.library.encode(t, add_special_tokens=False).ids) for t, p, ok in zip(texts, parts, plain, strict=True)]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,8 +80,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(large_text(part.column("text")).to_pylist()):
-                data = encoder.encode(text) + end
+            for i, data in enumerate(encoder.encode(large_text(part.column("text")).to_pylist())):
+                data += end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
