@@ -14,15 +14,17 @@ stays null; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +33,24 @@ from millrace.llm.common import large_text, map_texts, record, staged, texts
 CAPACITY = 2048
 #: The pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPLIT = regex.compile(PATTERN)
 #: Characters whose classes no Unicode version disputes; other texts go whole through the library.
 _PLAIN = re.compile("[\t\n\f\r -~¡-ɏ‐-‧]*")
-#: Pre-tokens that a task remembers, besides those of the slice at hand.
-MEMO = 250_000
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE file as little-endian bytes; distinct pre-tokens are encoded once a task."""
+    """Ids of a byte-level BPE file as little-endian bytes.
+
+    The file's library is the measure.  Where its merges rank by their ids (checked when the file is opened), its vocabulary is
+    run by the faster of the two installed implementations, which takes ids for ranks; texts with special strings or with
+    characters on whose class Unicode versions differ go whole through the library itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,29 +58,28 @@ class ByteEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _encode_parts(self, new: list[str]) -> list[bytes]:
-        """Each pre-token's ids, by one call for all."""
-        one = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-        data = self._bytes(one.ids)
-        size = np.bincount(np.array(one.word_ids, np.int64), minlength=len(new)) if len(data) else np.zeros(len(new), np.int64)
-        cut = [0, *(4 * np.cumsum(size)).tolist()]
-        return [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        parts = [_SPLIT.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        every, memo = set().union(*parts), self.memo
-        if len(memo) + len(every) > MEMO:
-            memo.clear()
-        if new := list(every.difference(memo)):
-            memo.update(zip(new, self._encode_parts(new), strict=True))
-        get = memo.__getitem__
-        return [b"".join(map(get, p)) if ok else self._bytes(self.library.encode(t, add_special_tokens=False).ids) for t, p, ok in zip(texts, parts, plain, strict=True)]
+        self.fast = self._ranked(path)
+
+    def _ranked(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        letters = _byte_letters()
+        ids = [model["vocab"].get(x + y, -1) for x, y in pairs]
+        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or ids != sorted(set(ids)) or ids[:1] == [-1] or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,8 +90,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, data in enumerate(encoder.encode(large_text(part.column("text")).to_pylist())):
-                data += end
+            for i, text in enumerate(large_text(part.column("text")).to_pylist()):
+                data = encoder.encode(text) + end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
