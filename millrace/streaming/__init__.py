@@ -1,0 +1 @@
+"""No part of the dialect is unbounded: tables are batches, and this package is empty on purpose."""
