@@ -110,8 +110,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 class _Exact:
     """Lengths at hand as an index of singles, pairs and triples by their sum."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray, depth: int):
+        self.counts, self.depth = counts, depth
 
     def _pair(self, gap: int, top: int) -> tuple[int, ...] | None:
         """The pair with sum gap whose larger length, at most top, is largest."""
@@ -123,13 +123,13 @@ class _Exact:
         return (int(a[k]), int(gap - a[k])) if ok[k] else None
 
     def fill(self, gap: int) -> tuple[int, ...] | None:
-        if gap <= 0 or self.counts[: gap + 1].sum() == 0:
+        if gap <= 0 or self.depth < 1 or self.counts[: gap + 1].sum() == 0:
             return None
         if self.counts[gap]:
             return (gap,)
-        if two := self._pair(gap, gap):
+        if self.depth > 1 and (two := self._pair(gap, gap)):
             return two
-        for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
+        for a in range(gap - 2, (gap + 2) // 3 - 1, -1) if self.depth > 2 else ():
             if self.counts[a]:
                 self.counts[a] -= 1
                 two = self._pair(gap - a, a)
@@ -140,11 +140,26 @@ class _Exact:
 
 
 def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Kinds of sequences, as the lengths in them, and how many of each; counts in, counts out."""
+    """Kinds of sequences, as the lengths in them, and how many of each; counts in, counts out.
+
+    Where lengths are few, exact fills may use up small ones that best fit would have needed: fills by up to triples, pairs,
+    singles and none are planned, and the plan of fewest sequences is taken (the deepest of equals)."""
+    fewest = -(-sum(n * k for n, k in lengths.items()) // capacity)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for depth in (3, 2, 1, 0):
+        found = _plan(lengths, capacity, depth)
+        if best is None or sum(k for _, k in found) < sum(k for _, k in best):
+            best = found
+        if sum(k for _, k in best) == fewest:
+            break
+    return best
+
+
+def _plan(lengths: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in lengths.items():
         counts[n] = k
-    exact, done, rest = _Exact(counts), [], {}
+    exact, done, rest = _Exact(counts, depth), [], {}
     for n in range(capacity, 0, -1):
         while counts[n]:
             if n == capacity:

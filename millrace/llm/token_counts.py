@@ -37,9 +37,10 @@ class PieceCounter:
         self.memo: dict[str, int] = {}
 
     def _count(self, new: list[str]) -> list[int]:
-        # encode() puts a mark in front: it stands for a pre-token's own first mark, and is one piece too many before a line end
+        # encode() puts a mark in front: it stands for a pre-token's own first mark, and is one piece too many before a line end;
+        # an empty text gets none, but a mark alone is a piece
         ids = self.model.encode([p[1:] if p[0] == MARK else p for p in new], num_threads=1)
-        return [len(x) if p[0] == MARK else len(x) - 1 for p, x in zip(new, ids, strict=True)]
+        return [1 if p == MARK else len(x) if p[0] == MARK else len(x) - 1 for p, x in zip(new, ids, strict=True)]
 
     def count(self, text: str) -> int:
         if not text:
