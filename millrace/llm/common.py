@@ -111,3 +111,11 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
                     yield kept
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filter_texts, map_texts, record, texts
+from millrace.llm.common import filter_texts, map_texts, record, texts, unused
 from millrace.llm.words import Words, sliding
 
 WINDOW, GRAM = 13, 7
@@ -198,11 +198,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram
     def each():
         return lambda part: [not _contaminated(Words(one.column(text_col)), items)[0] for one, items in _with_items(part, window, gram)]
 
-    return filter_texts(_by_join(docs, bench, window, gram, id_col, text_col), each, text_col).drop("__items")
+    return filter_texts(_by_join(docs, bench, window, gram, id_col, text_col), each, text_col).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _with_items(part: pa.RecordBatch, window: int, gram: int):
-    for i, near in enumerate(part.column("__items").to_pylist()):
+    name = part.schema.names[-1]  # added last by _by_join
+    for i, near in enumerate(part.column(name).to_pylist()):
         yield part.slice(i, 1), Items([x["item_id"] for x in near or ()], [x["item_text"] for x in near or ()], window, gram)
 
 
@@ -244,5 +245,6 @@ def _by_join(docs: DataFrame, bench: DataFrame, window: int, gram: int, id_col:
     pairs = map_texts(texts(docs, id_col, text_col), doc_prints, "key long, doc_id long").join(by_key, "key").select("doc_id", F.explode("names").alias("item_id")).distinct()
     whole = bench.select(F.coalesce("item_id", F.lit("")).alias("item_id"), F.col("text").alias("item_text"))
     near = pairs.join(whole, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
-    near = near.select(F.col("doc_id").alias("__id"), F.col("items").alias("__items"))
-    return docs.join(near, docs[id_col].cast("long").eqNullSafe(near["__id"]), "left").drop("__id")
+    own, name = unused(docs, "__id"), unused(docs, "__items")
+    near = near.select(F.col("doc_id").alias(own), F.col("items").alias(name))
+    return docs.join(near, docs[id_col].cast("long").eqNullSafe(near[own]), "left").drop(own)

@@ -252,8 +252,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     # a component without any id is told by its fingerprint's class alone
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
     kept = found.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min(order).alias("k")).select(F.col("k.b").alias("__id"), F.col("k.c").alias("__hash")).distinct()
-    rows = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
-    rows = rows.join(kept, rows[id_col].cast("long").eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__hash"]))
+    # the row as one struct: none of its columns can clash
+    own = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(own).alias("own"))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["__id"]) & (rows["own"] == kept["__hash"]))
     # rows repeated with id and text: one of them
-    rank = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("__n", F.row_number().over(rank)).filter("__n = 1").select(*docs.columns)
+    rank = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64("row"))
+    return rows.withColumn("n", F.row_number().over(rank)).filter("n = 1").select("row.*")

@@ -47,7 +47,7 @@ def rows():
 def docs(spark, rows):
     """With columns that the operators' own could clash with."""
     made = spark.createDataFrame(rows, "doc_id long, text string")
-    return made.withColumns({c: F.lit("clash") for c in ("fp", "unit", "score", "length", "labels", "component_id", "size", "word", "bucket", "n")}).repartition(3)
+    return made.withColumns({c: F.lit("clash") for c in ("fp", "unit", "score", "length", "labels", "component_id", "size", "word", "bucket", "n", "row", "own", "__items", "__id")}).repartition(3)
 
 
 @pytest.fixture(scope="module")
