@@ -228,6 +228,11 @@ def test_language_id(spark, docs, none):
     assert {x.lang_pred for x in langid.identify(docs, langid.train(none.withColumn("lang", F.lit("x")))).collect()} == {"und"}
 
 
+def test_words_are_letters():
+    assert langid.words_of("½ ② Ⅷ ٣ 12 _ --") == []
+    assert langid.words_of("x² Été_½日本 l'an") == ["x", "été", "日本", "l", "an"]
+
+
 def test_viterbi_is_optimal():
     r = np.random.default_rng(4)
     for _ in range(60):
