@@ -239,7 +239,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = components(links(classes.select("fp"), radius, tile, bands))
     # only linked fingerprints have a root other than themselves
     linked = classes.join(roots, classes.fp == roots.node).select("node", "root", "least")
-    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    # in two steps, so that no component meets in one task
+    parts = linked.groupBy("root", F.pmod(F.xxhash64("node"), F.lit(16))).agg(F.min("least").alias("least"))
+    names = parts.groupBy("root").agg(F.min("least").alias("name"))
     by_fp = staged(classes.join(linked.select("node", "root").join(names, "root").select("node", "name"), classes.fp == F.col("node"), "left").select(
         F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id")), "classes")
     return own.join(by_fp, own.fp == by_fp.f).select("doc_id", "text_hash", "fp", "component_id")
