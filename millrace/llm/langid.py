@@ -132,8 +132,10 @@ class Labeller:
         self.rows = np.zeros((0, len(model.languages)), np.float32)
         self.size = np.zeros(0, np.int64)
 
-    def labels(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
-        """Language, score and spans of each text; new words are scored together."""
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float, list[dict], float]]:
+        """Language, score, spans and known share of each text; new words are scored together.
+
+        The known share is that of all languages: each span's share of the letters times its posterior."""
         words = [words_of(t) if t and self.model.languages else [] for t in texts]
         new = list(set().union(*words).difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
@@ -144,7 +146,7 @@ class Labeller:
             self.memo.update(zip(new, range(base, base + len(new)), strict=True))
             self.rows = np.concatenate((self.rows[:base], self.model.word_scores(new)))
             self.size = np.concatenate((self.size[:base], np.fromiter(map(len, new), np.int64, len(new))))
-        out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, [])] * len(texts)
+        out: list[tuple[str, float, list[dict], float]] = [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         full = [i for i, w in enumerate(words) if w]
         if not full:
             return out
@@ -159,12 +161,12 @@ class Labeller:
             a, b = int(first[k]), int(first[k + 1])
             if one[k]:
                 name = self.model.languages[best[k]]
-                out[i] = name, float(alone[k]), [{"lang": name, "first_word": 0, "end_word": b - a}]
+                out[i] = name, float(alone[k]), [{"lang": name, "first_word": 0, "end_word": b - a}], float(alone[k])
             else:
                 out[i] = self._mixed(s[a:b], size[a:b])
         return out
 
-    def _mixed(self, s: np.ndarray, size: np.ndarray) -> tuple[str, float, list[dict]]:
+    def _mixed(self, s: np.ndarray, size: np.ndarray) -> tuple[str, float, list[dict], float]:
         label = viterbi(s, self.penalty)
         share = np.bincount(label, weights=size, minlength=s.shape[1])
         best = int(share.argmax())
@@ -172,7 +174,10 @@ class Labeller:
         posterior = 1 / np.exp(np.clip(evidence - evidence[best], -700, 30)).sum()
         cut = np.concatenate(([0], np.flatnonzero(np.diff(label)) + 1, [len(label)]))
         spans = [{"lang": self.model.languages[label[a]], "first_word": a, "end_word": b} for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return self.model.languages[best], float(min(1.0, share[best] / size.sum() * posterior)), spans
+        own = np.add.reduceat(s, cut[:-1], axis=0, dtype=np.float64)
+        sure = 1 / np.exp(np.clip(own - own[np.arange(len(own)), label[cut[:-1]]][:, None], -700, 30)).sum(1)
+        known = (np.add.reduceat(size, cut[:-1]) * sure).sum() / size.sum()
+        return self.model.languages[best], float(min(1.0, share[best] / size.sum() * posterior)), spans, float(min(1.0, known))
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -235,12 +240,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, id_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = SWITCH, text_col: str = "text") -> DataFrame:
-    """Whole rows of the texts that have a language and a score of at least `least`."""
+    """Whole rows of the texts of which a share of at least `least` is known to be of some language, whichever and however many."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         labeller = Labeller(sent.value, penalty)
 
-        return lambda part: [lang != UNKNOWN and score >= least for lang, score, _ in labeller.labels(part.column(text_col).to_pylist())]
+        return lambda part: [lang != UNKNOWN and known >= least for lang, _, _, known in labeller.labels(part.column(text_col).to_pylist())]
 
     return filter_texts(docs, make, text_col)
