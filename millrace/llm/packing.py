@@ -1,15 +1,17 @@
 """Operator 2, best-fit packing by exact-complement hashing.
 
 Texts are tokenized once, cut into pieces of at most `capacity` tokens, and only the counts of piece
-lengths (at most `capacity` numbers) reach the driver.  There a plan is made on counts: the largest length
-left opens sequences whose gap is filled exactly by one length, a pair or a triple, looked up in indexes
-of the lengths at hand and of their sums and taken as often as the counts allow; what finds no exact fill is
-placed best-fit, largest first.  Every step uses up a length or a kind of gap, so the plan stays
-proportional to `capacity` whatever the input.  Pieces then take their places by their rank among pieces
-of their length, counted in salted buckets so that no length meets in one task.
-
-Null and empty texts are the closing token alone; repeated rows are packed each for itself; a null id
-stays null; an empty table gives an empty result; other columns are not read.
+lengths (at most `capacity` numbers) reach the driver.  There a plan is made on counts: lengths, and the sums of pairs
+and of triples of lengths, are indexed by value; the largest length left opens sequences, whose gap is looked up in
+the index of singles, then of pairs, then of triples, and the combination found is consumed as often as the counts allow;
+what finds no exact fill is placed best-fit, largest first, with as many exact sequences opened again as
+that needs.  Every step uses up a length or a kind of gap, so the plan stays proportional to `capacity`
+squared whatever the input.  Pieces then take their places by their rank among pieces of their length,
+counted in salted buckets so that no length meets in one task.
+
+Null and empty texts are the closing token alone; repeated rows are packed each for itself; pieces of equal length are
+ranked by id, place and checksum; a null id stays null; an empty table gives an empty result; other columns are not read.
+A very long text is one slice: its task holds it and its ids (some ten times its bytes) and cuts it into as many pieces as it takes.
 """
 
 from __future__ import annotations
@@ -107,88 +109,113 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     return map_texts(texts(docs, id_col, text_col), make, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-class _Exact:
-    """Lengths at hand as an index of singles, pairs and triples by their sum."""
-
-    def __init__(self, counts: np.ndarray, depth: int):
-        self.counts, self.depth = counts, depth
+class Complements:
+    """Hash maps from a gap to what fills it exactly: a single length, a pair or a triple, under the counts at hand.
+
+    Pairs are indexed by their sum, larger length first; triples by theirs, as a length and the sum of a pair, which the
+    map of pairs then gives.  Counts only fall, so an entry that fails once fails for good and each map's cursors only move forward:
+    all look-ups together cost no more than the entries, at most capacity squared of them."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.tolist()
+        top = len(counts) - 1
+        have = np.flatnonzero(counts)
+        larger, smaller = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        ok = (larger >= smaller) & (larger + smaller < top)
+        larger, total = larger[ok], (larger + smaller)[ok]
+        self.pairs, self.pair_at, self.pair_end = self._by_sum(total, larger, top)
+        sums = np.unique(total)
+        first, rest = (x.ravel() for x in np.meshgrid(have, sums, indexing="ij"))
+        ok = first + rest < top
+        self.triples, self.triple_at, self.triple_end = self._by_sum((first + rest)[ok], first[ok], top)
+
+    @staticmethod
+    def _by_sum(total: np.ndarray, first: np.ndarray, top: int) -> tuple[np.ndarray, list[int], list[int]]:
+        order = np.lexsort((-first, total))
+        cut = np.searchsorted(total[order], np.arange(top + 1)).tolist()
+        return first[order].astype(np.int32), cut[:-1], cut[1:]
+
+    def _pair(self, gap: int) -> tuple[int, int] | None:
+        counts, at, end = self.counts, self.pair_at, self.pair_end[gap]
+        while at[gap] < end:
+            a = int(self.pairs[at[gap]])
+            b = gap - a
+            if counts[b] > (a == b) and counts[a]:
+                return a, b
+            at[gap] += 1
+        return None
 
-    def _pair(self, gap: int, top: int) -> tuple[int, ...] | None:
-        """The pair with sum gap whose larger length, at most top, is largest."""
-        a = np.arange(min(gap - 1, top), (gap + 1) // 2 - 1, -1)
-        if not len(a):
-            return None
-        ok = (self.counts[a] > 0) & (self.counts[gap - a] > (a * 2 == gap))
-        k = int(ok.argmax())
-        return (int(a[k]), int(gap - a[k])) if ok[k] else None
+    def _pair_beside(self, gap: int, taken: int) -> tuple[int, int] | None:
+        """A pair once a piece of length `taken` has gone: no cursor moves, as the piece may come back."""
+        counts, k, end = self.counts, self.pair_at[gap], self.pair_end[gap]
+        while k < end:
+            a = int(self.pairs[k])
+            b = gap - a
+            if counts[a] > (a == taken) + (a == b) and counts[b] > (b == taken):
+                return a, b
+            if taken not in (a, b) and k == self.pair_at[gap]:
+                self.pair_at[gap] += 1
+            k += 1
+        return None
 
     def fill(self, gap: int) -> tuple[int, ...] | None:
-        if gap <= 0 or self.depth < 1 or self.counts[: gap + 1].sum() == 0:
+        if gap <= 0:
             return None
         if self.counts[gap]:
             return (gap,)
-        if self.depth > 1 and (two := self._pair(gap, gap)):
+        if two := self._pair(gap):
             return two
-        for a in range(gap - 2, (gap + 2) // 3 - 1, -1) if self.depth > 2 else ():
-            if self.counts[a]:
-                self.counts[a] -= 1
-                two = self._pair(gap - a, a)
-                self.counts[a] += 1
-                if two:
-                    return (a, *two)
+        at, end = self.triple_at, self.triple_end[gap]
+        while at[gap] < end:
+            a = int(self.triples[at[gap]])
+            if self.counts[a] and (two := self._pair_beside(gap - a, a)):
+                return (a, *two)
+            at[gap] += 1
         return None
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Kinds of sequences, as the lengths in them, and how many of each; counts in, counts out.
+Kinds = list[tuple[tuple[int, ...], int]]
 
-    Where lengths are few, exact fills may use up small ones that best fit would have needed: fills by up to triples, pairs,
-    singles and none are planned, and the plan of fewest sequences is taken (the deepest of equals)."""
-    fewest = -(-sum(n * k for n, k in lengths.items()) // capacity)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    for depth in (3, 2, 1, 0):
-        found = _plan(lengths, capacity, depth)
-        if best is None or sum(k for _, k in found) < sum(k for _, k in best):
-            best = found
-        if sum(k for _, k in best) == fewest:
-            break
-    return best
 
+def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> Kinds:
+    """Kinds of sequences, as the lengths in them, and how many of each; counts in, counts out.
 
-def _plan(lengths: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
+    Lengths are opened largest first and their gaps filled exactly from the maps; what finds no exact fill is placed best-fit, and
+    where that leaves more sequences than the tokens need, `repair` opens some of the exact ones again."""
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in lengths.items():
         counts[n] = k
-    exact, done, rest = _Exact(counts, depth), [], {}
+    maps, done, rest = Complements(counts), [], {}
+    left = maps.counts
     for n in range(capacity, 0, -1):
-        while counts[n]:
-            if n == capacity:
-                found: tuple[int, ...] | None = ()
-            else:
-                counts[n] -= 1
-                found = exact.fill(capacity - n)
-                counts[n] += 1
+        while left[n]:
+            left[n] -= 1  # the opener itself; it goes now, with a fill or without
+            found = () if n == capacity else maps.fill(capacity - n)
+            left[n] += 1
             if found is None:
-                rest[n] = int(counts[n])
-                counts[n] = 0
+                rest[n], left[n] = left[n], 0
                 break
             kind = (n, *found)
-            times = min(int(counts[x]) // kind.count(x) for x in set(kind))
+            times = min(left[x] // kind.count(x) for x in set(kind))
             for x in kind:
-                counts[x] -= times
+                left[x] -= times
             done.append((kind, times))
-    # best fit on counts: bins by gap, sorted; each step uses up a length or a kind of bin
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    return repair(done, best_fit(rest, capacity), capacity)
+
+
+def best_fit(lengths: dict[int, int], capacity: int) -> Kinds:
+    """Best fit, largest first, on counts: sequences by gap, sorted; each step uses up a length or a kind of sequence."""
+    bins: dict[int, Kinds] = defaultdict(list)
     gaps: list[int] = []
 
     def put(kind: tuple[int, ...], times: int) -> None:
         gap = capacity - sum(kind)
-        if gap not in bins or not bins[gap]:
+        if not bins[gap]:
             insort(gaps, gap)
         bins[gap].append((kind, times))
 
-    for n in sorted(rest, reverse=True):
-        left = rest[n]
+    for n in sorted(lengths, reverse=True):
+        left = lengths[n]
         while left:
             at = bisect_left(gaps, n)
             if at == len(gaps):
@@ -205,7 +232,37 @@ def _plan(lengths: dict[int, int], capacity: int, depth: int) -> list[tuple[tupl
                 put(kind, times - use)
             put((*kind, n), use)
             left -= use
-    return done + [x for kinds in bins.values() for x in kinds]
+    return [x for kinds in bins.values() for x in kinds]
+
+
+def repair(exact: Kinds, loose: Kinds, capacity: int) -> Kinds:
+    """Fewer sequences where exact fills have used up small lengths that the loose sequences lack.
+
+    The loose ones and a few exact ones, those of most lengths first, are taken apart and placed best-fit together; twice as many
+    exact ones each time, until the sequences are as few as the tokens allow or nothing is left to open.  The plan of fewest
+    sequences stays, of equals the one that opened fewest."""
+    total = lambda kinds: sum(k for _, k in kinds)
+    fewest = -(-sum(sum(kind) * k for kind, k in [*exact, *loose]) // capacity)
+    best, most = [*exact, *loose], total(exact)
+    exact = sorted(exact, key=lambda x: (-len(x[0]), x[0]))
+    opened = 4
+    while total(best) > fewest and opened < 2 * most:
+        lengths: dict[int, int] = defaultdict(int)
+        kept, room = [], min(opened, most)
+        for kind, k in exact:
+            take = min(k, room)
+            room -= take
+            for n in kind if take else ():
+                lengths[n] += take
+            if k > take:
+                kept.append((kind, k - take))
+        for kind, k in loose:
+            for n in kind:
+                lengths[n] += k
+        if total(found := [*kept, *best_fit(lengths, capacity)]) < total(best):
+            best = found
+        opened *= 2
+    return best
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

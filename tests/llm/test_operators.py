@@ -139,6 +139,42 @@ def test_plan_fills_exactly():
         assert sum(k for _, k in done) <= least_bins(lengths, 100) + 2
 
 
+def test_complements_are_all_found():
+    """Every answer of the maps against all combinations, while lengths are consumed."""
+    r = random.Random(3)
+    for _ in range(40):
+        counts = np.zeros(41, np.int64)
+        for n, k in Counter(r.choices(range(1, 40), k=r.randint(1, 14))).items():
+            counts[n] = k
+        maps = packing.Complements(counts)
+        for _ in range(12):
+            gap = r.randint(0, 39)
+            at_hand = [n for n, k in enumerate(maps.counts) for _ in range(min(k, 3))]
+            fills = [{c for c in itertools.combinations(at_hand, size) if sum(c) == gap} for size in (1, 2, 3)]
+            found = maps.fill(gap) if gap else None
+            if found is None:
+                assert not gap or not any(fills)
+                continue
+            assert tuple(sorted(found)) in next(f for f in fills if f)
+            for n in found:
+                maps.counts[n] -= 1
+
+
+@pytest.mark.parametrize("sf, fewest", [("sf0.001", 96), ("sf0.01", 481)])
+def test_plan_of_whole_tables(sf, fewest):
+    """As few sequences as the tokens need, with singles, pairs and triples in use."""
+    import pyarrow.parquet as pq
+
+    encoder, lengths = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column("text").to_pylist():
+        whole, over = divmod(len(encoder.encode(text or "")) // 4 + 1, 2048)
+        lengths.update([2048] * whole + [over] * (over > 0))
+    done = packing.plan(dict(lengths))
+    assert sum((Counter({n: kind.count(n) * k for n in set(kind)}) for kind, k in done), Counter()) == lengths
+    assert sum(k for _, k in done) == fewest == -(-sum(n * k for n, k in lengths.items()) // 2048)
+    assert all(any(len(kind) == size and sum(kind) == 2048 for kind, _ in done) for size in (2, 3, 4))
+
+
 def least_bins(lengths, capacity):
     """Martello and Toth's lower bound: no large lengths share a bin, and small ones fill what these leave."""
     best = 0
