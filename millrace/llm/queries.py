@@ -61,7 +61,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.find_secrets(docs, secrets.train(texts(docs))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn")
+    return secrets.find_secrets(docs, secrets.train(texts(docs))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_scored", "n_cnn", "n_added")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

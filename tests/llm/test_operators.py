@@ -421,14 +421,3 @@ def test_secrets(spark, rows, none):
     for x in hidden.collect():
         assert x.text is None or not secrets.base_spans(x.text) and len(x.text) == x.n_chars
     assert secrets.train(texts(none)) is None and secrets.find_secrets(none, None).count() == 0
-
-
-def test_gradients_of_the_network():
-    r = np.random.default_rng(1)
-    x = r.integers(-1, 13, (60, secrets.WIDTH)).astype(np.int8)
-    y = (x[:, 20] > 5).astype(np.float32)
-    net = secrets.CharNet(filters=8)
-    before = ((net.score(x) > 0.5) == y).mean()
-    x[y == 1, 20:24] = 4
-    net.fit(x, y, epochs=60)
-    assert ((net.margin(x) > 0) == y).mean() > max(0.95, before)
