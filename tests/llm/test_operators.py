@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,11 +203,34 @@ def test_token_counts(spark, rows, none):
         n = len(library.encode(text or ""))
         return len((text or "").encode()), n, n > 4096
 
-    found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
-    agree(found, rows, lambda r: (r.n_bytes, r.n_tokens, r.over_limit), brute)
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("bucket", "unit", "ids", "bytes", "counts", "tokens", "n_tokens", "token")})
+    # no frequent ones, and many units; all frequent; one unit a task
+    for options in ({"frequent": 0, "unit_bytes": 1000}, {}, {"frequent": 20, "sample": 10, "bucket_bytes": 500}):
+        agree(token_counts.count_tokens(df, model, **options).collect(), rows * 2, lambda r: (r.n_bytes, r.n_tokens, r.over_limit), brute)
     assert token_counts.count_tokens(none, model).count() == 0
 
 
+def test_each_pre_token_is_counted_once(rows):
+    """Over all units, buckets and the frequent ones, on whole texts and their copies."""
+    found = Counter(p for _, t in rows * 3 for p in token_counts.pre_tokens(t or ""))
+    known = dict.fromkeys([p for p, _ in found.most_common(50)], 1)
+    batches = []
+    for number in range(7):
+        unit = token_counts.Unit(known)
+        for i, t in (rows * 3)[number::7]:
+            unit.add(i, t or "", len((t or "").encode()))
+        batches.append(unit.rows(number, 5))
+    table = pa.Table.from_batches(batches)
+    assert table.filter(pa.compute.is_valid(table.column("ids"))).num_rows == 7
+    asked = table.filter(pa.compute.is_valid(table.column("tokens")))
+    counted = Counter()
+    for b in range(5):
+        distinct, places = token_counts.distinct_tokens(asked.filter(pa.compute.equal(asked.column("bucket"), b)))
+        counted.update(distinct)
+        assert sorted(set(np.concatenate(places).tolist())) == list(range(len(distinct)))
+    assert set(counted.values()) == {1} and set(counted) == set(found) - set(known)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.integers(-3, 4, 4) / 8]) for i in range(230)]
