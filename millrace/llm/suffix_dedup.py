@@ -7,17 +7,21 @@ equal places.  The steps:
 1. texts are stored once in compressed units of about UNIT bytes;
 2. each unit's distinct anchor hashes meet in hash buckets; those in two units or more go back to their units;
 3. units cut out the bytes around such anchors (what any string of `length` bytes over the anchor can reach).
-   Among equal surroundings within a unit, only those of the smallest document go on: the others are
-   removed already.  So a hot passage sends one row a unit, however many documents hold it;
-4. in a bucket, suffixes are sorted by bucket-pointer refinement: the first q-gram gives the initial buckets,
-   and each bucket is refined by sorting on the bucket identifiers of the q-grams at later offsets, every
-   refinement reusing the last one's identifiers, to the right and likewise to the left.  Neighbours' common
+   Of equal surroundings within a unit only those of the smallest document go on: the others are
+   removed already.  So a hot passage sends one row a unit, however many documents hold it; above `group_units` units
+   the same is done over groups of units, level by level, before a bucket meets its rows;
+4. in a bucket, the suffixes that begin at anchors are sorted to `length` bytes by bucket-pointer refinement.  The q-grams at an
+   offset give the initial buckets of the suffixes that begin there; beginning with the last offsets, each bucket is refined by
+   sorting on the bucket pointers of the suffixes `q` further on, which are refined already, and the new
+   pointers serve the suffixes before them in turn.  So each offset costs one sort, however deep its suffixes
+   are told apart.  The same over reversed bytes sorts what stands before an anchor.  Neighbours' common
    lengths give classes of equal strings at every depth, and each class's smallest document;
 5. removed stretches go back to their units, which write the kept bytes.
 
 Hashes only propose; equality is decided on bytes.  Nulls and empty texts keep nothing and lose nothing; a
 null doc_id is larger than every other; rows with equal doc_id never remove from each other; empty tables
-give empty results; other columns are not read.
+give empty results; other columns are not read.  A very long text is a unit of its own and takes its task some 100 times
+its bytes.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ from millrace.llm.words import byte_values, prefix_hash, sliding, span_hash
 
 LENGTH, GRAM = 50, 24
 UNIT = 2 << 20
-#: Bytes of text for one hash bucket, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64
+#: Bytes of text for one bucket of hashes and for one of surroundings, and the fewest buckets; units that meet in one step.
+HASH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, GROUP_UNITS = 32 << 20, 4 << 20, 64, 4096
+#: Bytes of the grams that give initial buckets.
+Q = 8
 _NONE = np.iinfo(np.int64).max
 _MASK = np.uint64((1 << 40) - 1)
 
@@ -51,13 +57,13 @@ def _unzip(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def units(docs: DataFrame) -> DataFrame:
+def units(docs: DataFrame, unit_bytes: int = UNIT) -> DataFrame:
     """unit, size, ids, sizes, data: many texts in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text", UNIT):
+            for part in slices(batch, "text", unit_bytes):
                 column = large_text(part.column("text"))
                 off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
                 raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
@@ -169,18 +175,18 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[head], end[np.append(np.flatnonzero(head)[1:] - 1, len(end) - 1)]
 
 
-def _send_surroundings(batches, buckets: int, length: int, gram: int):
+def _send_surroundings(batches, hash_buckets: int, buckets: int, length: int, gram: int):
     side = length - gram
     for batch in batches:
         for row in batch.to_pylist():
             unit = Unit(row, length, gram)
             at, h = unit.anchors()
-            bucket, key = split_hash(h, buckets)
+            bucket, key = split_hash(h, hash_buckets)
             order = np.lexsort((key, bucket))
-            at, bucket, key = at[order], bucket[order], key[order]
+            at, bucket, key, h = at[order], bucket[order], key[order], h[order]
             doc = np.searchsorted(unit.bounds, at, "right") - 1
             wanted = np.zeros(len(at), bool)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            cut = np.searchsorted(bucket, np.arange(hash_buckets + 1))
             for x in row["lists"] or ():
                 a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
                 wanted[a:b] = np.isin(key[a:b], _eight(x["keys"]))
@@ -191,7 +197,7 @@ def _send_surroundings(batches, buckets: int, length: int, gram: int):
                 low, high = np.minimum.reduceat(unit.doc[doc], first), np.maximum.reduceat(unit.doc[doc], first)
                 wanted |= (low != high)[number]
             pick = np.flatnonzero(wanted)
-            at, bucket, doc = at[pick], bucket[pick], doc[pick]
+            at, bucket, doc = at[pick], (h[pick] % np.uint64(buckets)).astype(np.int64), doc[pick]
             # what a string over the anchor can reach within its text; beyond it zeros that are never looked at
             left, right = np.minimum(at - unit.bounds[doc], side), np.minimum(unit.bounds[doc + 1] - at - gram, side)
             place = at[:, None] + np.arange(-side, gram + side)
@@ -199,11 +205,8 @@ def _send_surroundings(batches, buckets: int, length: int, gram: int):
             around = np.where(inside, unit.raw[np.clip(place, 0, max(len(unit.raw) - 1, 0))], 0).astype(np.uint8) if len(at) else np.zeros((0, gram + 2 * side), np.uint8)
             removed_a, removed_b = [], []
             if len(at):
-                whole = np.ascontiguousarray(np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), 1)).view(f"V{around.shape[1] + 2}").ravel()
-                _, same = np.unique(whole, return_inverse=True)
-                lowest = np.full(same.max() + 1, _NONE, np.int64)
-                np.minimum.at(lowest, same, unit.doc[doc])
-                later = unit.doc[doc] > lowest[same]
+                same = alike(around, left, right, length, gram)
+                later = repeated_alike(same, unit.doc[doc])
                 some = later & (left + right + gram >= length)
                 removed_a, removed_b = _merged(at[some] - left[some], (at + gram + right)[some])
                 keep = ~later
@@ -224,48 +227,64 @@ def _send_surroundings(batches, buckets: int, length: int, gram: int):
                 yield record(bucket=pa.array(out["bucket"], pa.int64()), unit=pa.array([row["unit"]] * len(out["bucket"]), pa.int64()), n=pa.array(out["n"], pa.int64()), meta=pa.array(out["meta"], pa.binary()), around=pa.array(out["around"], pa.binary()))
 
 
-def refine(ids: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Bucket-pointer refinement: buckets `ids` sorted anew on the identifiers `later` of a later offset."""
-    order = np.lexsort((later, ids))
-    a, b = ids[order], later[order]
-    out = np.empty(len(ids), np.int64)
-    out[order] = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+def refine(buckets: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Buckets sorted anew within themselves on the pointers `later` of the suffixes further on."""
+    order = np.lexsort((later, buckets))
+    a, b = buckets[order], later[order]
+    out = np.empty(len(buckets), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(order) else 0
     return out
 
 
-def gram_ids(grams: np.ndarray) -> np.ndarray:
-    """Identifiers, in order, of q-grams of up to 8 bytes."""
+def gram_buckets(grams: np.ndarray) -> np.ndarray:
+    """Initial buckets: numbers, in order, of q-grams of up to 8 bytes."""
     padded = np.zeros((len(grams), 8), np.uint8)
     padded[:, : grams.shape[1]] = grams
     return np.unique(padded.view(">u8").ravel(), return_inverse=True)[1].astype(np.int64)
 
 
-def suffix_classes(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """For suffixes in buckets `anchor`: classes of equal bytes at every depth 0 to side.shape[1]; n x (depths + 1)."""
-    n, depth = side.shape
-    ids = anchor
-    for o in range(0, depth, 8):
-        ids = refine(ids, gram_ids(side[:, o : o + 8]))
-    order = np.argsort(ids, kind="stable")
-    s, a = side[order], anchor[order]
+def bucket_pointers(strings: np.ndarray, q: int = Q) -> np.ndarray:
+    """For strings of equal size, one a row: the pointer of each's bucket once sorted to its full size; equal strings share it."""
+    starts = range(0, strings.shape[1], q)
+    pointer = gram_buckets(strings[:, starts[-1] :])
+    for o in reversed(starts[:-1]):  # the suffixes at o + q are refined to the end: theirs are the pointers to sort on
+        pointer = refine(gram_buckets(strings[:, o : o + q]), pointer)
+    return pointer
+
+
+def suffix_classes(strings: np.ndarray, least: int) -> np.ndarray:
+    """Classes of strings that agree in their first `least` bytes, in one more, and so on to all; n x (sizes)."""
+    n, size = strings.shape
+    order = np.argsort(bucket_pointers(strings), kind="stable")
+    s = strings[order]
     differ = s[1:] != s[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), depth)
-    common[a[1:] != a[:-1]] = -1
-    out = np.zeros((n, depth + 1), np.int64)
-    for d in range(depth + 1):
-        out[order[1:], d] = np.cumsum(common < d)
+    common = np.where(differ.any(1), differ.argmax(1), size)
+    out = np.zeros((n, size - least + 1), np.int64)
+    for d in range(least, size + 1):
+        out[order[1:], d - least] = np.cumsum(common < d)
     return out
 
 
+def alike(around: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Numbers of equal surroundings: what an anchor's suffix and what stands before it, each as far as it reaches, are equal."""
+    side = length - gram
+    ahead = refine(bucket_pointers(around[:, side:]), right)
+    return refine(ahead, refine(bucket_pointers(around[:, :side][:, ::-1]), left)) if side else ahead
+
+
+def repeated_alike(same: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows of whose surroundings a smaller document has equal ones."""
+    lowest = np.full(int(same.max(initial=-1)) + 1, _NONE, np.int64)
+    np.minimum.at(lowest, same, doc)
+    return doc > lowest[same]
+
+
 def repeated(around: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> np.ndarray:
     """n x (side + 1): does the string that begins `side - j` bytes before the anchor also begin in a smaller document?"""
     side = length - gram
     n = len(doc)
-    anchor = gram_ids(around[:, side : side + min(8, gram)])
-    for o in range(8, gram, 8):
-        anchor = refine(anchor, gram_ids(around[:, side + o : side + min(o + 8, gram)]))
-    to_right = suffix_classes(anchor, around[:, side + gram :])
-    to_left = suffix_classes(anchor, around[:, :side][:, ::-1])
+    to_right = suffix_classes(around[:, side:], gram)
+    to_left = suffix_classes(around[:, : side + gram][:, ::-1], gram)
     out = np.zeros((n, side + 1), bool)
     for j in range(side + 1):  # the string takes side - j bytes before the anchor and j after it
         ok = np.flatnonzero((left >= side - j) & (right >= j))
@@ -279,19 +298,46 @@ def repeated(around: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.nd
     return out
 
 
+def _opened(t: pa.Table, length: int, gram: int):
+    """A bucket's rows: which pass through, which hold surroundings, and these as arrays with each one's row."""
+    n, meta, data = (t.column(c).to_pylist() for c in ("n", "meta", "around"))
+    passing, full = ([i for i, k in enumerate(n) if bool(k) == own] for own in (False, True))
+    parts = [_unzip(meta[i], "<i8").reshape(4, -1) for i in full]
+    around = [_unzip(data[i], np.uint8).reshape(-1, 2 * length - gram) for i in full]
+    at, doc, left, right = np.concatenate(parts, 1) if full else np.zeros((4, 0), np.int64)
+    return passing, full, (at, doc, left, right, np.concatenate(around) if full else None, np.repeat(np.arange(len(full)), [n[i] for i in full]))
+
+
+def _combine(t: pa.Table, length: int, gram: int, width: int) -> pa.Table:
+    """Of a bucket and some units: of equal surroundings those of the smallest document go on, as within a unit."""
+    passing, full, (at, doc, left, right, around, where) = _opened(t, length, gram)
+    rows = {c: t.column(c).take(pa.array(passing, pa.int64())).to_pylist() for c in t.schema.names}
+    if full:
+        later = repeated_alike(alike(around, left, right, length, gram), doc)
+        some = later & (left + right + gram >= length)
+        cut = np.searchsorted(where, np.arange(len(full) + 1))
+        for k, i in enumerate(full):
+            here = np.arange(cut[k], cut[k + 1])
+            row = {c: t.column(c)[i].as_py() for c in t.schema.names}
+            if len(keep := here[~later[here]]):
+                new = {"n": len(keep), "meta": _zip(np.concatenate((at[keep], doc[keep], left[keep], right[keep])).astype("<i8")), "around": _zip(around[keep])}
+                for c in rows:
+                    rows[c].append(new.get(c, row[c]))
+            if len(drop := here[some[here]]):
+                new = {"n": 0, "meta": _packed(*_merged(at[drop] - left[drop], (at + gram + right)[drop])), "around": b""}
+                for c in rows:
+                    rows[c].append(new.get(c, row[c]))
+    rows["group"] = [g // width for g in rows["group"]]
+    return pa.table({f.name: pa.array(rows[f.name], f.type) for f in t.schema})
+
+
 def _resolve(t: pa.Table, length: int, gram: int) -> pa.Table:
-    side, width = length - gram, 2 * length - gram
-    unit, n, meta, data = (t.column(c).to_pylist() for c in ("unit", "n", "meta", "around"))
-    out_unit = [u for u, k in zip(unit, n, strict=True) if not k]
-    blobs = [m for m, k in zip(meta, n, strict=True) if not k]
-    full = [i for i, k in enumerate(n) if k]
+    side = length - gram
+    passing, full, (at, doc, left, right, around, where) = _opened(t, length, gram)
+    unit, meta = t.column("unit").to_pylist(), t.column("meta").to_pylist()
+    out_unit, blobs = [unit[i] for i in passing], [meta[i] for i in passing]
     if full:
-        parts = [_unzip(meta[i], "<i8").reshape(4, -1) for i in full]
-        at, doc, left, right = np.concatenate(parts, 1)
-        around = np.concatenate([_unzip(data[i], np.uint8).reshape(-1, width) for i in full])
-        found = repeated(around, doc, left, right, length, gram)
-        where = np.repeat(np.arange(len(full)), [n[i] for i in full])
-        row, j = np.nonzero(found)
+        row, j = np.nonzero(repeated(around, doc, left, right, length, gram))
         begin = at[row] - side + j
         cut = np.searchsorted(where[row], np.arange(len(full) + 1))
         for k, i in enumerate(full):
@@ -322,17 +368,28 @@ def _finish(batches, length: int, gram: int):
             yield record(doc_id=pa.array(ids, pa.int64()), n_bytes=pa.array(size, pa.int64()), n_removed=pa.array(cut, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept_sha256=pa.array(digest, pa.string()), removed=pa.array(spans, pa.list_(pa.list_(pa.int64()))))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT, group_units: int = GROUP_UNITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed: the [start, end) byte stretches."""
     if not 8 <= gram <= length or length - gram > 250:
         raise ValueError("8 <= gram <= length <= gram + 250")
-    stored = staged(units(texts(docs, id_col, text_col)), "units")
-    total = stored.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, int(total) // BUCKET_BYTES)
-    hashes = stored.select("unit", "data", "ids", "sizes").mapInArrow(lambda b: _send_hashes(b, buckets, length, gram), "bucket long, unit long, keys binary")
+    stored = staged(units(texts(docs, id_col, text_col), unit_bytes), "units")
+    size = stored.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    hash_buckets, buckets = max(LEAST_BUCKETS, int(size.b) // HASH_BYTES), max(LEAST_BUCKETS, int(size.b) // BUCKET_BYTES)
+    # partitions follow the data, so that no task's share grows with it
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_unit = lambda df: df.repartition(max(most, size.n // 4), "unit")
+    rows = by_unit(stored.select("unit", "data", "ids", "sizes"))
+    hashes = stored.select("unit", "data", "ids", "sizes").mapInArrow(lambda b: _send_hashes(b, hash_buckets, length, gram), "bucket long, unit long, keys binary")
     shared = hashes.groupBy("bucket").applyInArrow(_shared, "unit long, bucket long, keys binary")
-    lists = shared.groupBy("unit").agg(F.collect_list(F.struct("bucket", "keys")).alias("lists"))
-    around = stored.join(lists, "unit", "left").mapInArrow(lambda b: _send_surroundings(b, buckets, length, gram), "bucket long, unit long, n long, meta binary, around binary")
+    lists = by_unit(shared).groupBy("unit").agg(F.collect_list(F.struct("bucket", "keys")).alias("lists"))
+    around = rows.join(lists, "unit", "left").mapInArrow(lambda b: _send_surroundings(b, hash_buckets, buckets, length, gram), "bucket long, unit long, n long, meta binary, around binary")
+    groups = -(-size.n // group_units)
+    if groups > 1:
+        around = around.withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(groups)))
+        while groups > 1:
+            around = around.groupBy("bucket", "group").applyInArrow(lambda t: _combine(t, length, gram, group_units), around.schema)
+            groups = -(-groups // group_units)
+    around = around.repartition(max(most, buckets // 2), "bucket")
     gone = around.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length, gram), "unit long, gone binary")
-    gone = gone.groupBy("unit").agg(F.collect_list("gone").alias("lists"))
-    return stored.join(gone, "unit", "left").mapInArrow(lambda b: _finish(b, length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
+    gone = by_unit(gone).groupBy("unit").agg(F.collect_list("gone").alias("lists"))
+    return rows.join(gone, "unit", "left").mapInArrow(lambda b: _finish(b, length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")

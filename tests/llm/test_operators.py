@@ -267,12 +267,33 @@ def test_suffix_dedup(docs, rows, none):
         runs = sum(1 for k, g in itertools.groupby(gone.tolist()) if k)
         return len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()
 
-    found = suffix_dedup.remove_repeats(docs).collect()
-    agree(found, rows, lambda r: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), brute)
-    assert sum(r.n_removed > 0 for r in found) > 10
+    # small units, and groups of two of them, level by level
+    for options in ({}, {"unit_bytes": 4000, "group_units": 2}, {"unit_bytes": 4000}):
+        found = suffix_dedup.remove_repeats(docs, **options).collect()
+        agree(found, rows, lambda r: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), brute)
+        assert sum(r.n_removed > 0 for r in found) > 10
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_bucket_pointers_sort_suffixes():
+    r = np.random.default_rng(5)
+    for n, size in ((1, 50), (2, 8), (300, 50), (300, 13), (400, 3)):
+        strings = r.integers(0, 2, (n, size)).astype(np.uint8)
+        strings[n // 2 :] = strings[: n - n // 2]
+        strings[n // 3 :, size // 2] ^= 1
+        keys = [x.tobytes() for x in strings]
+        pointer = suffix_dedup.bucket_pointers(strings).tolist()
+        rank = {k: i for i, k in enumerate(sorted(set(keys)))}
+        assert [rank[k] for k in keys] == pointer
+        least = size // 3
+        classes = suffix_dedup.suffix_classes(strings, least)
+        for d in range(least, size + 1):
+            same = {}
+            for k, c in zip(keys, classes[:, d - least].tolist(), strict=True):
+                assert same.setdefault(k[:d], c) == c
+            assert len(set(same.values())) == len(same)
+
+
 def test_language_id(spark, docs, none):
     r = random.Random(2)
     tongues = {"aa": "bado kilu mano".split(), "bb": "xeth wrok zzif".split(), "ru": "привет мир слово".split()}
