@@ -11,9 +11,11 @@ from millrace.session import Session
 
 
 def show(df, limit: int = 1000) -> str:
-    rows = [list(df.columns), *([shown(v) for v in r] for r in df.limit(limit).collect())]
+    found = df.limit(limit + 1).collect()
+    rows = [list(df.columns), *([shown(v) for v in r] for r in found[:limit])]
     width = [max(len(r[i]) for r in rows) for i in range(len(rows[0]))]
-    return "\n".join(" | ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in rows)
+    text = "\n".join(" | ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in rows)
+    return text if len(found) <= limit else f"{text}\n(the first {limit} rows; EXPORT gives all)"
 
 
 def main() -> None:

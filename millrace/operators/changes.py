@@ -1,4 +1,4 @@
-"""CREATE, INSERT, UPDATE and DELETE on immutable tables: changed tables are written anew, inserts add a folder."""
+"""CREATE, INSERT, UPDATE and DELETE on immutable files: those with changed rows are written anew, the others stay; inserts add one."""
 
 from __future__ import annotations
 
@@ -30,14 +30,15 @@ def create_table(store: Store, s: CreateTable) -> int:
 
 
 def create_index(store: Store, s: CreateIndex) -> int:
-    """Notes the index; from now on the table's files carry a bloom filter of the column, and its present rows are written so."""
+    """Notes the index and writes the present rows in ranges of the column, one a file; from now on the table's files are ordered by it and
+    carry a bloom filter of it."""
     t = _table(store, s.table)
     t.kind(s.column)
     if s.column in t.indexes or s.column == t.key:
         raise StorageError(f"{s.table}({s.column}) has an index")
     t.indexes = [*t.indexes, s.column]
-    if t.paths:
-        store.replace(s.table, store.read(s.table))
+    if t.files:
+        store.replace(s.table, store.read(s.table).repartitionByRange(F.col(f"`{s.column}`")))
     return 0
 
 
@@ -70,12 +71,6 @@ def update(store: Store, s: Update) -> int:
     t = _table(store, s.table)
     df = store.read(s.table)
     match = _matching(df, s.table, s.where)
-    n = df.filter(match).count()
-    if not n:
-        for c, _ in s.sets:
-            t.kind(c)
-        return 0
-    new = df
     sets = {}
     for c, lit in s.sets:
         k = t.kind(c)
@@ -83,20 +78,26 @@ def update(store: Store, s: Update) -> int:
             sets[c] = F.lit(types.value(lit.text, k)).cast(types.KINDS[k].stored)
         except (ValueError, OverflowError) as e:
             raise StorageError(str(e)) from e
-    new = df.select(*(F.when(match, sets[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in df.columns))
-    if t.key in sets and new.groupBy(F.col(f"`{t.key}`")).count().filter("count > 1").limit(1).collect():
-        raise StorageError("duplicate key")
-    store.replace(s.table, new)
+    files, n = store.holding(s.table, match)
+    if not n:
+        return 0
+    rows = store.files_of(t, files)
+    new = rows.select(*(F.when(match, sets[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in df.columns))
+    if t.key in sets:
+        own = F.col(f"`{t.key}`")
+        others = store.files_of(t, [f for f in t.files if f not in set(files)])
+        if n > 1 or new.select(own).unionByName(others.select(own)).groupBy(own).count().filter("count > 1").limit(1).collect():
+            raise StorageError("duplicate key")
+    store.replace(s.table, new, files)
     return n
 
 
 def delete(store: Store, s: Delete) -> int:
-    _table(store, s.table)
-    df = store.read(s.table)
-    match = _matching(df, s.table, s.where)
-    n = df.filter(match).count()
+    t = _table(store, s.table)
+    match = _matching(store.read(s.table), s.table, s.where)
+    files, n = store.holding(s.table, match)
     if n:
-        store.replace(s.table, df.filter(~match))
+        store.replace(s.table, store.files_of(t, files).filter(~match), files)
     return n
 
 

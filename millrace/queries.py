@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import subprocess
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import Session
+from millrace.sources.lock import holder
+from millrace.sources.shared import shared_root, temporary
+from millrace.sources.storage import StorageError
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -74,8 +79,7 @@ def _select(name: str, statement: str, names: list[str] | None) -> Callable[[Spa
 
 def _stored(spark: SparkSession, sf_dir: str, *tables: str) -> Session:
     """A session on a new folder, in the cluster's shared one if it names one, with these tables imported."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    session = Session(spark, f"{root.rstrip('/')}/millrace-db-{uuid.uuid4().hex}")
+    session = Session(spark, temporary(spark, f"{shared_root(spark)}/millrace-db-{uuid.uuid4().hex}"))
     for t in tables:
         session.import_table(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     return session
@@ -133,12 +137,96 @@ def export_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT r_regionkey, r_name FROM again")
 
 
+def refused(s: Session, statement: str) -> int:
+    """1 if the stored tables do not allow it."""
+    try:
+        s.sql(statement)
+    except StorageError:
+        return 1
+    return 0
+
+
+def pk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key is unique through INSERT and UPDATE; a change that keeps it so goes through."""
+    s = Session(spark, temporary(spark, f"{shared_root(spark)}/millrace-db-{uuid.uuid4().hex}"))
+    s.import_table("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_nationkey")
+    bad = [refused(s, x) for x in ("INSERT INTO nation VALUES (3, 'AGAIN', 1)", "UPDATE nation SET n_nationkey = 4 WHERE n_nationkey = 5", "UPDATE nation SET n_nationkey = 99")]
+    s.sql("UPDATE nation SET n_nationkey = 77 WHERE n_nationkey = 5")
+    s.sql("INSERT INTO nation VALUES (5, 'NEW', 1)")
+    return s.sql("SELECT n_nationkey, n_name FROM nation").withColumn("refused", F.lit(sum(bad)))
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An equality on an indexed column of a stored table, which has changed since."""
+    s = _stored(spark, sf_dir, "orders")
+    s.sql("CREATE INDEX by_customer ON orders(o_custkey)")
+    s.sql("UPDATE orders SET o_orderstatus = 'X' WHERE o_custkey = 7")
+    s.sql("DELETE FROM orders WHERE o_custkey = 8")
+    return s.sql("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7")
+
+
+def txn_dead_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer ends in the middle of its transaction: its changes are not seen, and the next writer goes on."""
+    s = _stored(spark, sf_dir, "nation")
+    s.sql("BEGIN")
+    s.sql("DELETE FROM nation")
+    gone = subprocess.Popen([sys.executable, "-c", "input()"], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    s.store.files.write(f"{s.store.root}/LOCK", [json.dumps(holder(gone.pid, "of a process that is gone"))])
+    gone.communicate()
+    other = Session(spark, s.store.root)
+    other.sql("UPDATE nation SET n_name = 'X' WHERE n_regionkey = 2")
+    refused(s, "COMMIT")  # the first one has lost its lock
+    return other.sql("SELECT * FROM nation")
+
+
+def txn_disconnect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing a session undoes its open transaction."""
+    s = _stored(spark, sf_dir, "nation")
+    s.sql("BEGIN")
+    s.sql("DELETE FROM nation WHERE n_regionkey = 1")
+    s.close()
+    other = Session(spark, s.store.root)
+    other.sql("DELETE FROM nation WHERE n_regionkey = 0")
+    return other.sql("SELECT * FROM nation")
+
+
+def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader sees the table as it was when it began, while others change it; a second writer has to wait."""
+    s = _stored(spark, sf_dir, "nation")
+    before = s.sql("SELECT * FROM nation")
+    s.sql("BEGIN")
+    s.sql("DELETE FROM nation WHERE n_regionkey = 1")
+    waits = refused(Session(spark, s.store.root), "DELETE FROM nation")
+    s.sql("COMMIT")
+    Session(spark, s.store.root).sql("UPDATE nation SET n_name = 'X'")
+    return before.withColumn("refused", F.lit(waits))
+
+
+def result_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that results have, by statement and place."""
+    s = Session(spark).register_folder(sf_dir, TABLES)
+    statements = ["SELECT p_size, (p_size + 1), -p_size, p_size * 2 FROM part", "SELECT COUNT(*), AVG(p_size), MAX(p_size) - MIN(p_size) FROM part", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT * FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey"]
+    return spark.createDataFrame([(i, k, c) for i, x in enumerate(statements) for k, c in enumerate(s.sql(x).columns)], "statement int, place int, name string")
+
+
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Session(spark).sql("EXPLAIN SELECT l_returnflag, COUNT(*) FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
+    return Session(spark).sql("EXPLAIN SELECT DISTINCT l_returnflag, COUNT(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10 AND o_orderstatus = 'F' GROUP BY l_returnflag HAVING COUNT(*) > 5 ORDER BY l_returnflag LIMIT 3")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Session(spark).register_folder(sf_dir, ["region", "nation"]).catalog()
+    s = _stored(spark, sf_dir, "region")
+    s.sql("CREATE TABLE t (id INT, name VARCHAR, PRIMARY KEY(id))")
+    s.sql("CREATE INDEX by_name ON t(name)")
+    return s.sql("DEBUG")
+
+
+_NAMES = [["p_size", "(p_size + 1)", "(-p_size)", "(p_size * 2)"], ["Count(*)", "Avg(p_size)", "(Max(p_size) - Min(p_size))"], ["n_name"], ["nation.n_nationkey", "nation.n_name", "nation.n_regionkey", "region.r_regionkey", "region.r_name"]]
+_STEPS = ["TableScan lineitem", "TableScan orders", "Join l_orderkey = o_orderkey", "Filter l_quantity > 10 AND o_orderstatus = 'F'", "GroupBy [l_returnflag] [Count(*)]", "Having Count(*) > 5", "OrderBy l_returnflag ASC", "Projection l_returnflag, Count(*)", "Distinct", "Limit 3"]
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
 
 
 _CHANGES = {
@@ -149,8 +237,14 @@ _CHANGES = {
     "txn_rollback": (txn_rollback, "SELECT * FROM nation"),
     "txn_commit": (txn_commit, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 1"),
     "export_load": (export_load, "SELECT r_regionkey, r_name FROM region"),
-    "explain": (explain, None),
-    "catalog": (catalog, None),
+    "pk_unique": (pk_unique, "SELECT CASE WHEN n_nationkey = 5 THEN 77 ELSE n_nationkey END AS n_nationkey, n_name, 3 AS refused FROM nation UNION ALL SELECT 5, 'NEW', 3"),
+    "index_lookup": (index_lookup, "SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7"),
+    "txn_dead_writer": (txn_dead_writer, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation"),
+    "txn_disconnect": (txn_disconnect, "SELECT * FROM nation WHERE n_regionkey <> 0"),
+    "snapshot_read": (snapshot_read, "SELECT *, 1 AS refused FROM nation"),
+    "result_names": (result_names, _values([(i, k, c) for i, names in enumerate(_NAMES) for k, c in enumerate(names)], "statement, place, name")),
+    "explain": (explain, _values([(f"-->{x}",) for x in _STEPS], '"EXPLAIN"')),
+    "catalog": (catalog, _values([("region", "r_regionkey", "INT", False, False), ("region", "r_name", "VARCHAR", False, False), ("t", "id", "INT", True, True), ("t", "name", "VARCHAR", False, True)], '"table", "column", "type", primary_key, indexed')),
 }
 
 

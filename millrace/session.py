@@ -15,7 +15,7 @@ from millrace.operators.changes import CHANGES
 from millrace.plans.explain import steps
 from millrace.plans.planner import Planner
 from millrace.sources import csv
-from millrace.sources.storage import StorageError, Store, Table
+from millrace.sources.storage import RETENTION, StorageError, Store, Table
 
 
 class Session:
@@ -97,18 +97,23 @@ class Session:
 
     def load_csv(self, table: str, path: str, force: bool = False, key: str | None = None, quoted: bool = False) -> tuple[int, int]:
         """Creates the table from a file; gives the rows loaded and the rows left out."""
-        counts = {}
+        counts = (0, 0)
 
         def change(store: Store) -> int:
             if table in store.open_txn:
                 raise StorageError(f"table {table} exists")
-            columns, rows, totals = csv.read_csv(self.spark, path, force, key, quoted)
+            nonlocal counts
+            columns, rows, written = csv.read_csv(self.spark, path, force, key, quoted)
             store.create(table, Table(columns, key), rows)
-            counts["kept"], counts["total"] = store.read(table).count(), totals.first().total
-            return counts["kept"]
+            try:
+                counts = written()
+            except csv.CsvError:
+                del store.open_txn[table]  # an open transaction goes on without it
+                raise
+            return counts[0]
 
-        kept = self._changing(change)
-        return kept, counts["total"] - kept
+        self._changing(change)
+        return counts
 
     def import_table(self, name: str, df: DataFrame, key: str | None = None) -> int:
         """Creates the table from a DataFrame whose types the dialect has."""
@@ -142,6 +147,15 @@ class Session:
         if self.store is not None and self.store.open_txn is not None:
             self.store.rollback()
 
+    def vacuum(self, retain_hours: float = RETENTION / 3600) -> int:
+        """Removes files that changes have replaced, if older; gives their number."""
+        return self._stored().vacuum(retain_hours * 3600)
+
+    def physical_plan(self, select: str) -> str:
+        """What Spark will run for a SELECT, as EXPLAIN gives the logical steps."""
+        df = Planner(self._table).select(parse(select))
+        return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
     def info(self) -> str:
         if self.store is None:
             return "read-only"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
@@ -24,6 +25,35 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def entries(self, path: str) -> list[tuple[str, int]]:
+        """Names and bytes."""
+        fs, p = self._at(path)
+        return sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def is_file(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+    def age(self, path: str) -> float | None:
+        """Seconds since it was last changed; None if there is none."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000 if fs.exists(p) else None
+
+    def touch(self, path: str) -> None:
+        """Changed now, without being written."""
+        fs, p = self._at(path)
+        fs.setTimes(p, int(time.time() * 1000), -1)
+
+    def move(self, path: str, to: str) -> bool:
+        """Under a new name, at once or not at all; False if it has gone."""
+        fs, p = self._at(path)
+        try:
+            return fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to))
+        except Exception:
+            if fs.exists(p):
+                raise
+            return False
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

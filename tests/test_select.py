@@ -92,7 +92,7 @@ def test_nulls_answer_no(session):
 
 def test_explain(session):
     got = [r[0] for r in rows(session.sql("EXPLAIN SELECT DISTINCT k FROM dup JOIN big ON dup.k = big.k WHERE v = 'x' LIMIT 2"))]
-    assert got == ["-->TableScan dup", "-->TableScan big", "-->Join dup.k = big.k", "-->Filter v = x", "-->Projection k", "-->Distinct", "-->Limit 2"]
+    assert got == ["-->TableScan dup", "-->TableScan big", "-->Join dup.k = big.k", "-->Filter v = 'x'", "-->Projection k", "-->Distinct", "-->Limit 2"]
 
 
 def test_filters_reach_the_scan(spark, tmp_path):

@@ -1,7 +1,15 @@
+import json
+import os
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import pytest
 
 from millrace.session import Session
 from millrace.sources.csv import CsvError, infer
+from millrace.sources.lock import LEASE
 from millrace.sources.storage import StorageError
 
 
@@ -87,23 +95,125 @@ def test_transactions(spark, session, tmp_path):
         s.sql("COMMIT")
 
 
-def test_reopening_drops_what_no_manifest_names(spark, session, tmp_path):
+def test_a_reader_outlives_changes_and_other_sessions(spark, session, tmp_path):
     s = made(session)
+    before = s.sql("SELECT id, v FROM t")
+    s.sql("UPDATE t SET v = 'new'")
+    other = Session(spark, str(tmp_path / "db"))
+    other.sql("DELETE FROM t WHERE id = 1")
+    assert rows(before) == [(1, "a"), (2, "b"), (3, "c")] and rows(other.sql("SELECT id FROM t")) == [(2,), (3,)]
+    assert s.vacuum() == 0  # all of it is young
     s.begin()
+    with pytest.raises(StorageError):
+        s.vacuum()
     s.sql("UPDATE t SET v = 'lost'")
-    folder = tmp_path / "db" / "t" / "t"
-    before = len(list(folder.iterdir()))
-    (tmp_path / "db" / "LOCK").unlink()  # as after the writer's end
-    again = Session(spark, str(tmp_path / "db"))
-    assert len(list(folder.iterdir())) < before and rows(again.sql("SELECT v FROM t")) == [("a",), ("b",), ("c",)]
-    s.store.open_txn = None
+    s.rollback()
+    time.sleep(0.01)
+    assert s.vacuum(0) > 0 and rows(other.sql("SELECT id, v FROM t")) == [(2, "new"), (3, "new")] and other.vacuum(0) == 0
+
+
+WRITER = """
+import os, sys
+sys.path.insert(0, sys.argv[2])
+from pyspark.sql import SparkSession
+from millrace.session import Session
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+s = Session(spark, sys.argv[1])
+s.sql("BEGIN")
+s.sql("DELETE FROM t")
+os.kill(os.getpid(), 9)
+"""
+
+
+def test_a_writer_that_dies_blocks_nobody(session, tmp_path):
+    s = made(session)
+    done = subprocess.run([sys.executable, "-c", WRITER, str(tmp_path / "db"), str(Path(__file__).parent.parent)], capture_output=True, text=True, timeout=120)
+    assert done.returncode == -9 and (tmp_path / "db" / "LOCK").exists()
+    assert rows(s.sql("SELECT id FROM t")) == [(1,), (2,), (3,)]
+    s.sql("DELETE FROM t WHERE id = 2")
+    assert rows(s.sql("SELECT id FROM t")) == [(1,), (3,)] and not (tmp_path / "db" / "LOCK").exists()
+
+
+def test_a_lock_expires_and_its_holder_cannot_publish(spark, session, tmp_path):
+    s = made(session)
+    other = Session(spark, str(tmp_path / "db"))
+    s.begin()
+    s.sql("DELETE FROM t")
+    with pytest.raises(StorageError):
+        other.sql("DELETE FROM t WHERE id = 1")
+    lock = tmp_path / "db" / "LOCK"
+    s.store.files.write(str(lock), [json.dumps(json.loads(lock.read_text()) | {"host": "another"})])
+    with pytest.raises(StorageError):
+        other.sql("DELETE FROM t WHERE id = 1")
+    os.utime(lock, (0, time.time() - 2 * LEASE))  # as of a host that has not renewed it
+    other.sql("DELETE FROM t WHERE id = 1")
+    with pytest.raises(StorageError):
+        s.commit()
+    assert rows(s.sql("SELECT id FROM t")) == [(2,), (3,)]
+    s.sql("DELETE FROM t WHERE id = 2")
+    assert rows(other.sql("SELECT id FROM t")) == [(3,)]
+    s.begin()
+    s.close()
+    other.sql("DELETE FROM t")
+    other.store.files.write(str(lock), ["{broken"])
+    with pytest.raises(StorageError):
+        other.sql("INSERT INTO t VALUES (9, 'x')")
+    os.utime(lock, (0, time.time() - 2 * LEASE))
+    other.sql("INSERT INTO t VALUES (9, 'x')")
+    assert rows(other.sql("SELECT id FROM t")) == [(9,)]
+
+
+def test_changes_rewrite_only_files_with_matches(spark, session):
+    df = spark.range(0, 4000, 1, 8).selectExpr("CAST(id AS INT) AS id", "CAST(id % 7 AS STRING) AS v")
+    session.import_table("f", df, "id")
+    before = {f for f, _ in session.store.now["f"].files}
+    assert len(before) == 8
+    assert session.sql("UPDATE f SET v = 'x' WHERE id = 10").first()[0] == 1
+    after = {f for f, _ in session.store.now["f"].files}
+    assert len(before & after) == 7
+    assert session.sql("DELETE FROM f WHERE id >= 500 AND id < 1000").first()[0] == 500
+    last = {f for f, _ in session.store.now["f"].files}
+    assert len(after & last) == 7
+    assert session.sql("DELETE FROM f WHERE id = -1").first()[0] == 0 and {f for f, _ in session.store.now["f"].files} == last
+    assert session.sql("SELECT COUNT(*), SUM(id) FROM f WHERE v != 'x'").first()[:] == (3499, float(sum(range(4000)) - sum(range(500, 1000)) - 10))
+    with pytest.raises(StorageError):
+        session.sql("UPDATE f SET id = 11 WHERE id = 3999")
 
 
-def test_many_inserts_are_compacted(spark, session):
-    session.sql("CREATE TABLE m (a INT)")
+def test_inserts_merge_small_files_only(spark, session, monkeypatch):
+    monkeypatch.setattr("millrace.sources.storage.SMALL_BYTES", 3000)
+    session.import_table("m", spark.range(0, 3000, 1, 2).selectExpr("CAST(id AS INT) AS a"))
+    large = {f for f, _ in session.store.now["m"].files}
     for i in range(18):
-        session.sql(f"INSERT INTO m VALUES ({i})")
-    assert len(session.store.now["m"].paths) < 18 and len(rows(session.sql("SELECT a FROM m"))) == 18
+        session.sql(f"INSERT INTO m VALUES ({-i - 1})")
+    files = {f for f, _ in session.store.now["m"].files}
+    assert large <= files and len(files) < 10 and len(rows(session.sql("SELECT a FROM m"))) == 3018
+
+
+def scanned(df):
+    """Rows that the scan gave, once the query has run."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_an_indexed_look_up_skips_files(spark, session):
+    df = spark.range(0, 20000, 1, 4).selectExpr("CAST(id AS INT) AS id", "CAST((id * 7919) % 20000 AS INT) AS k")
+    session.import_table("i", df)
+    look = "SELECT id FROM i WHERE k = 7919"
+    assert rows(session.sql(look)) == [(1,)] and scanned(session.sql(look)) > 10000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        session.sql("CREATE INDEX ON i(k)")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(session.store.now["i"].files) > 1
+    assert rows(session.sql(look)) == [(1,)] and scanned(session.sql(look)) <= 20000 // len(session.store.now["i"].files) + 600
+    for x in range(30):  # changes keep it right
+        session.sql(f"UPDATE i SET id = {100000 + x} WHERE k = {x * 3}")
+    session.sql("DELETE FROM i WHERE k = 6")
+    assert [rows(session.sql(f"SELECT id FROM i WHERE k = {k}")) for k in (3, 6, 87)] == [[(100001,)], [], [(100029,)]]
+    assert "PushedFilters" in session.physical_plan(look) and "EqualTo(k,7919)" in session.physical_plan(look)
 
 
 def test_inference():
@@ -122,6 +232,12 @@ def test_load(session, tmp_path):
     (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3\n")
     with pytest.raises(CsvError):
         session.load_csv("r", str(tmp_path / "ragged.csv"))
+    (tmp_path / "late.csv").write_text("a,b\n" + "1,2\n" * 30 + "3\n")
+    session.begin()
+    with pytest.raises(CsvError):
+        session.load_csv("late", str(tmp_path / "late.csv"))
+    assert "late" not in session.store.now
+    session.commit()
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(CsvError):
         session.load_csv("r", str(tmp_path / "empty.csv"))
