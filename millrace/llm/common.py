@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,12 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import drop, shared_root, temporary
+
 #: Bytes of text that one numpy pass works on; a longer single text is one slice of its own.
 SLICE_BYTES = 1 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,38 +24,20 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A folder of our own is set only in one-process runs."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def _drop_staged() -> None:
-    for spark, path in _staged:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            pass
-
-
-atexit.register(_drop_staged)
-
-
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives the loss of executors."""
+    """Writes df to the shared folder and reads it back: cuts lineage, survives the loss of executors.  It goes by release() or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    path = temporary(spark, f"{shared_root(spark)}/millrace-{tag}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Drops a staged table that nothing reads any more."""
+    if path := getattr(df, "_staged_at", None):
+        drop(path)
 
 
 def large_text(column: pa.Array) -> pa.LargeStringArray:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts, record, staged, texts
+from millrace.llm.common import map_texts, record, release, staged, texts
 from millrace.llm.words import NONSPACE, Words
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 2, 1024
@@ -225,7 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = down.join(lowest, down.u == lowest.w).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).filter("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-        edges = staged(small, "edges")
+        before, edges = edges, staged(small, "edges")
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root").unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

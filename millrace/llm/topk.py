@@ -3,9 +3,11 @@
 Queries go out in blocks of a bounded size, one block a pass, and every shard of vectors multiplies itself with
 the block tile by tile; each tile keeps every query's best k by partial selection, a task merges its tiles, and
 the tasks' lists are merged in a tree of groups of `fan` lists.  Scores are integer inner products: they are taken in
-float64 where all sums are below 2**53, and in integers else.
+float64 where all sums are below 2**53, and in integers of any size else; a score beyond a long's range is the nearest long, and such
+scores tie.
 
-Vectors that are null, or hold null or non-finite components, or whose ids are null, take no part; vectors of
+Vectors that are null, or hold null or non-finite components (also those above some 1e305, which are not once scaled), or whose ids
+are null, take no part; vectors of
 other lengths than the query's give no score to it.  Rows with the query's id are the query's own.  Ties go to
 the smaller id; rows repeated under one id are candidates of their own, and as a query the smallest of their vectors counts.  Empty tables give empty results; other columns
 are not read.
@@ -28,9 +30,10 @@ BLOCK_BYTES = 16 << 20
 _EXACT = float(1 << 53)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    # of so large a component the scaled one is no longer finite
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) * float(scale) == float("inf"))
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", bad))
 
 
@@ -39,12 +42,13 @@ def quantised(rows: list, scale: int) -> np.ndarray:
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows; a sum that a long cannot hold is an error."""
+    """Integer inner products of rows, exact at any size; one that a long cannot hold is the nearest long."""
     top = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
     if top < _EXACT:
         return (a @ b.T).astype(np.int64)
     exact = np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
-    return exact.astype(np.int64)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    return np.array([[min(max(int(x), low), high) for x in r] for r in exact], np.int64).reshape(len(a), len(b))
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -54,7 +58,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(score >= least)
     else:
         at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))[:k]]
+    return at[np.lexsort((ids[at], ~score[at]))[:k]]
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: tuple[list[int], list], k: int, scale: int, task_of) -> Iterator[pa.RecordBatch]:
@@ -102,7 +106,7 @@ def _task() -> int:
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where the condition `is_query` on column vec_id holds, against all rows."""
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col, scale)
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = queries.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
     # hashing deals ids unevenly: blocks are aimed at half the bound

@@ -246,6 +246,11 @@ def test_top_k(spark):
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(own)]
         assert {q for q, found in got.items() if found} == {0, 100, 200}
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (100, [-1e300, 1e16]), (1, [1.0, 2.0]), (2, [1e300, 5.0]), (3, [-3.0, 1e15]), (4, [1e308, 1.0])], "vec_id long, embedding array<double>")
+    top, low = (1 << 63) - 1, -(1 << 63)
+    got = {(x.query_id, x.vec_id): (x.rank, x.score) for x in topk.top_k(huge, F.col("vec_id") % 100 == 0).collect()}
+    assert [got[0, i] for i in (1, 2, 3, 100)] == [(1, top), (2, top), (3, low), (4, low)] and len(got) == 8
+    assert [got[100, i] for i in (3, 0, 1, 2)] == [(1, top), (2, low), (3, low), (4, low)]
     big = np.array([[2.0**40, 3.0]])
     assert topk.scores(big, np.array([[2.0**20, 1.0]])).tolist() == [[2**60 + 3]]
 
