@@ -8,11 +8,13 @@ is hit.  Items of fewer than 13 words are looked up by the hash of all their wor
 
 The fingerprints of the benchmark are sent to all tasks only while `broadcast_items` and
 `broadcast_bytes` hold; a larger benchmark is joined to the documents' fingerprints by a shuffle, and each
-document is then compared only with the items that it shares a fingerprint with.
+document is then compared only with the items that it shares a fingerprint with, found once a text however many
+documents repeat it.
 
 Null texts have no words, and nothing hit; an item without words has no window; a null item_id is written
 as an empty string; items of the same item_id count once; repeated documents give repeated rows; empty
-tables give empty results or no hits; other columns are not read.
+tables give empty results or no hits; other columns are not read.  A very long text is one slice, and takes its task some 100
+bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -235,16 +237,19 @@ def _by_join(docs: DataFrame, bench: DataFrame, window: int, gram: int, id_col:
                 keys.append(h)
                 docs_at.append(owner[here])
             key, doc = np.concatenate(keys), np.concatenate(docs_at).astype(np.int64)
-            ids = part.column("doc_id").take(pa.array(doc))
-            return record(key=pa.array(key.view(np.int64)), doc_id=ids)
+            own = part.column("doc").take(pa.array(doc))
+            return record(key=pa.array(key.view(np.int64)), doc=own)
 
         return work
 
     # one row for each key: a key that many items share is not multiplied before the item sets meet a document
     by_key = prints.groupBy("key").agg(F.collect_set(F.coalesce("item_id", F.lit(""))).alias("names"))
-    pairs = map_texts(texts(docs, id_col, text_col), doc_prints, "key long, doc_id long").join(by_key, "key").select("doc_id", F.explode("names").alias("item_id")).distinct()
+    # a text stands for all its copies, whatever their ids; texts that share a hash only get more items to look for
+    mine = lambda: F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    found = map_texts(docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), mine().alias("doc")), doc_prints, "key long, doc long").distinct()
+    pairs = found.join(by_key, "key").select("doc", F.explode("names").alias("item_id")).distinct()
     whole = bench.select(F.coalesce("item_id", F.lit("")).alias("item_id"), F.col("text").alias("item_text"))
-    near = pairs.join(whole, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    near = pairs.join(whole, "item_id").groupBy("doc").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
     own, name = unused(docs, "__id"), unused(docs, "__items")
-    near = near.select(F.col("doc_id").alias(own), F.col("items").alias(name))
-    return docs.join(near, docs[id_col].cast("long").eqNullSafe(near[own]), "left").drop(own)
+    near = near.select(F.col("doc").alias(own), F.col("items").alias(name))
+    return docs.join(near, mine() == near[own], "left").drop(own)

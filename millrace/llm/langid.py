@@ -8,7 +8,9 @@ letters, its score the share of letters times the posterior of its spans.
 The model learns from at most `per_language` labelled texts a language, those with the smallest hashes of their
 ids and texts; whole texts are read.  No labelled text, no language: everything is `und`, as are null texts and texts
 without a letter (score 0).  Ties go to the language that sorts first.  Repeated rows give repeated results;
-a null id stays null; empty tables give empty results; other columns are not read.
+a null id stays null; empty tables give empty results; other columns are not read.  Any number of languages is learned: the model
+takes 128 KB for each, on the driver and in every task.  A very long text is one slice, and takes its task some 20 bytes for each
+of its words and languages.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from millrace.llm.common import filter_texts, map_texts, record
 from millrace.llm.words import byte_values, mix, prefix_hash, span_hash
 
 UNKNOWN = "und"
-PER_LANGUAGE, MAX_LANGUAGES = 3000, 1000
+PER_LANGUAGE, HELD_LANGUAGES = 3000, 64
 BITS, ORDERS = 15, (1, 2, 3)
 SWITCH, CLIP, SMOOTH = 14.0, 9.0, 0.5
 MEMO = 200_000
@@ -183,33 +185,41 @@ class Labeller:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """labelled: doc_id, text, lang.  Counts are made on the executors; the driver gets languages x 2**BITS numbers at most."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), {})
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))))
+    frequent = [k for k in languages if sizes[k] > per_language]  # of the others all texts
+    share = F.create_map(*(x for k in frequent for x in (F.lit(k), F.lit(per_language / sizes[k])))) if frequent else F.create_map(F.lit(""), F.lit(1.0))
     place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = labelled.filter(place < share[F.col("lang")]).select("text", "lang")
+    sample = labelled.filter(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0))).select("text", "lang")
     number = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
-        n, letters = np.zeros((len(languages), 1 << BITS), np.int64), {}
+        n: dict[int, np.ndarray] = {}
+        letters: Counter[tuple[int, str]] = Counter()
+
+        def grams():
+            for k, row in n.items():
+                j = np.flatnonzero(row)
+                yield record(lang=pa.array(np.full(len(j), k), pa.int32()), gram=pa.array(j, pa.int32()), script=pa.nulls(len(j), pa.string()), n=pa.array(row[j], pa.int64()))
+            n.clear()
+
         for batch in batches:
-            words = [Counter() for _ in languages]
+            words: dict[int, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words[number[lang]].update(words_of(text))
-            for k, found in enumerate(words):
+                words.setdefault(number[lang], Counter()).update(words_of(text))
+            for k, found in words.items():
                 if found:
                     gram, owner = gram_numbers(list(found))
-                    n[k] += np.bincount(gram, weights=np.fromiter(found.values(), np.int64, len(found))[owner], minlength=1 << BITS).astype(np.int64)
+                    more = np.bincount(gram, weights=np.fromiter(found.values(), np.int64, len(found))[owner], minlength=1 << BITS).astype(np.int64)
+                    n[k] = n[k] + more if k in n else more
                 for w, times in found.items():
-                    letters.setdefault(script_of(w), np.zeros(len(languages), np.int64))[k] += len(w) * times
-        i, j = np.nonzero(n)
-        yield record(lang=pa.array(i, pa.int32()), gram=pa.array(j, pa.int32()), script=pa.array([None] * len(i), pa.string()), n=pa.array(n[i, j], pa.int64()))
-        more = [(k, s, int(v[k])) for s, v in letters.items() for k in range(len(languages)) if v[k]]
-        yield record(lang=pa.array([x[0] for x in more], pa.int32()), gram=pa.array([-1] * len(more), pa.int32()), script=pa.array([x[1] for x in more], pa.string()), n=pa.array([x[2] for x in more], pa.int64()))
+                    letters[k, script_of(w)] += len(w) * times
+                if len(n) >= HELD_LANGUAGES:  # what a task holds does not grow with the languages
+                    yield from grams()
+        yield from grams()
+        yield record(lang=pa.array([k for k, _ in letters], pa.int32()), gram=pa.array([-1] * len(letters), pa.int32()), script=pa.array([s for _, s in letters], pa.string()), n=pa.array(list(letters.values()), pa.int64()))
 
     rows = sample.mapInArrow(count, "lang int, gram int, script string, n long").groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, script, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "script", "n"))

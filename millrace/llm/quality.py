@@ -6,10 +6,12 @@ A text's features are indicators (present or not) of hashed n-grams: its words,
 a linear model with squared hinge loss is fitted by dual coordinate descent.  Platt's sigmoid, fitted on a held-out
 third of the sample, turns margins into probabilities.
 
-The fit reads at most about `per_class` labelled texts of each class, those with the smallest hashes of their ids;
+The fit reads at most `per_class` labelled texts of each class, those with the smallest hashes of their ids, one text
+an id (of several that of the smallest features);
 scoring reads every whole text.  Null and empty texts have no features and get the model's intercept.
 Without labels of both classes every score is the share of label 1 (0.5 without labels).  Repeated rows give repeated results; of several
-labels of one document the smallest counts; a null id stays null; empty tables give empty results; other columns are not read.
+labels of one document the smallest counts; a null id stays null; empty tables give empty results; other columns are not read.  A very long text is one slice, and takes its task
+some 200 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -155,16 +157,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray, hold: np.ndarray, c: float = 1.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, c: float = 1.0) -> Model:
-    """docs: doc_id, text; labels: doc_id, quality (0 or 1; others are left out).  The driver gets the sample's features: about 2 x per_class rows."""
+    """docs: doc_id, text; labels: doc_id, quality (0 or 1; others are left out).  The driver gets the sample's features: at most 2 x per_class rows."""
     labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     if len(sizes) < 2:
         p = float(next(iter(sizes))) if sizes else 0.5
         return Model(np.zeros(1 << BITS), np.ones(1 << BITS), 0.0, 1.0, float(np.log((p + 0.01) / (1.01 - p))))
-    place = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = labels.filter(place < F.when(F.col("quality") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0])))
-    # about 2 x per_class rows of 12 bytes, so the sample goes to the texts
-    chosen = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    # per_class rows of each class, so the sample goes to the texts
+    smallest = [labels.filter(F.col("quality") == k).orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    chosen = docs.join(F.broadcast(smallest[0].unionByName(smallest[1])), "doc_id").select("doc_id", "text", "quality")
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, c: flo
 
         return work
 
-    got = sorted(map_texts(chosen, make, "doc_id long, quality int, features binary").collect(), key=lambda r: (r.doc_id, r.features))
+    # one text an id, however many rows have it; they are told apart before the shuffle
+    one = map_texts(chosen, make, "doc_id long, quality int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("x"))
+    got = sorted(one.select("doc_id", "x.*").collect(), key=lambda r: r.doc_id)
     rows = [np.frombuffer(r.features, np.int32) for r in got]
     y = np.array([r.quality for r in got])
     hold = np.array([int(mix(np.array([r.doc_id & (1 << 63) - 1], np.uint64))[0]) % 3 == 0 for r in got], bool)

@@ -10,7 +10,7 @@ Vectors that are null, or hold null or non-finite components (also those above s
 are null, take no part; vectors of
 other lengths than the query's give no score to it.  Rows with the query's id are the query's own.  Ties go to
 the smaller id; rows repeated under one id are candidates of their own, and as a query the smallest of their vectors counts.  Empty tables give empty results; other columns
-are not read.
+are not read.  Vectors of any length are compared whole.
 """
 
 from __future__ import annotations
