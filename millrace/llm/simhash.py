@@ -9,6 +9,11 @@ at once by carry-save counters over shifted planes, and words of 64 pairs are ab
 exceed the radius.  A bucket above `tile` fingerprints is split into tiles that meet pairwise.  A tile gives a
 spanning forest of its links, never its pairs; components come from alternating star steps over stored edges.
 
+`similar` is the same for a similarity of word shingles in place of a radius: fingerprints are wider (two words of 64 bits), the
+radius is what pairs of that similarity differ in, plus two standard deviations, and no band of bits could be free of
+differences, so buckets are those of texts that agree in two of six minima of hashed shingles, as texts of similarity 0.8 do
+with a chance of 0.998.  Buckets are compared bit-sliced as above.
+
 A null or empty text, or one without words, has fingerprint zero and links like any other; shorter texts are
 one shingle.  Repeated rows share a fingerprint and stay rows of their own.  component_id is the
 smallest id reachable, null ids left out (null only if all are null).  Empty tables give empty results; other
@@ -17,6 +22,7 @@ columns are not read.  A very long text is one slice, and takes its task some 10
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -26,9 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_texts, record, release, staged, texts
-from millrace.llm.words import NONSPACE, Words
+from millrace.llm.words import NONSPACE, Words, mix
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 2, 1024
+SIMILARITY, MINIMA = 0.8, 6
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -79,9 +86,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of bits, 64 fingerprints a word."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, -(-len(fps) // 64) * 64), np.uint8)
+    """A row for each bit, 64 fingerprints a word; fps: one row a fingerprint, of one word or more."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    padded = np.zeros((bits.shape[1], -(-len(fps) // 64) * 64), np.uint8)
     padded[:, : len(fps)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
@@ -101,9 +108,9 @@ def close_pairs(planes: np.ndarray, allowed: np.ndarray, lag: int, radius: int)
     width = (radius + 1).bit_length()
     counters = [np.zeros(len(live), np.uint64) for _ in range(width)]
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
-    wide = np.zeros((64, size + skip + 2), np.uint64)
+    wide = np.zeros((len(planes), size + skip + 2), np.uint64)
     wide[:, :size] = planes
-    for b in range(64):
+    for b in range(len(planes)):
         low = wide[b, live + skip]
         other = (low >> np.uint64(shift)) | (wide[b, live + skip + 1] << np.uint64(64 - shift)) if shift else low
         carry = planes[b, live] ^ other
@@ -154,20 +161,21 @@ def forest(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndar
     return root
 
 
-def _linked(batches, radius: int):
+def _linked(batches, radius: int, prints: list[str]):
     """Partitions sorted by bucket: whole buckets, many at a time."""
     left = None
 
     def links(t: pa.Table) -> pa.RecordBatch | None:
-        fps = t.column("fp").to_numpy().view(np.uint64)
+        fps = np.stack([t.column(c).to_numpy().view(np.uint64) for c in prints], 1)
         keys = [t.column(c).to_numpy() for c in ("choice", "key", "tile")]
         new = np.zeros(len(fps), bool)
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
-        root = forest(np.ascontiguousarray(fps), np.cumsum(new), radius)
+        root = forest(fps, np.cumsum(new), radius)
         at = np.flatnonzero(root != np.arange(len(root)))
         if len(at):
-            a, b = fps[at].view(np.int64), fps[root[at]].view(np.int64)
+            node = t.column("node").to_numpy()
+            a, b = node[at], node[root[at]]
             return record(u=pa.array(np.minimum(a, b)), v=pa.array(np.maximum(a, b)))
         return None
 
@@ -190,6 +198,19 @@ def _linked(batches, radius: int):
             yield out
 
 
+def bucket_links(rows: DataFrame, radius: int, tile: int, prints: list[str]) -> DataFrame:
+    """rows: node, its fingerprint's words `prints`, and the buckets (choice, key) that it is in.  Edges u < v between nodes whose closure
+    is that of all links within buckets."""
+    sizes = rows.groupBy("choice", "key").count().filter("count > 1")
+    # a bucket of one has no pair; one above `tile` is split, and its parts meet pairwise
+    rows = rows.join(sizes, ["choice", "key"]).withColumn("k", F.ceil(F.col("count") / tile).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    rows = rows.select("choice", "key", "node", *(p for p in prints if p != "node"), F.explode(F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("mine")).cast("long") * F.col("k") + F.greatest(j, F.col("mine"))))).alias("tile"))
+    rows = rows.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile")
+    return rows.mapInArrow(lambda batches: _linked(batches, radius, prints), "u long, v long").distinct()
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, bands: int | None = None) -> DataFrame:
     """Edges u < v between distinct fingerprints (column fp) whose closure is that of all links."""
     if bands is None:
@@ -200,15 +221,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, bands: in
     choices = list(combinations(range(bands), bands - radius))
     keys = [sum(((1 << cuts[b + 1]) - (1 << cuts[b])) for b in c) for c in choices]
     masks = F.array(*(F.lit(k - (1 << 64) if k >> 63 else k).cast("long") for k in keys))
-    rows = distinct.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    sizes = rows.groupBy("choice", "key").count().filter("count > 1")
-    # a bucket of one has no pair; one above `tile` is split, and its parts meet pairwise
-    rows = rows.join(sizes, ["choice", "key"]).withColumn("k", F.ceil(F.col("count") / tile).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    rows = rows.select("choice", "key", "fp", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("mine")).cast("long") * F.col("k") + F.greatest(j, F.col("mine"))))).alias("tile"))
-    rows = rows.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile")
-    return rows.mapInArrow(lambda batches: _linked(batches, radius), "u long, v long").distinct()
+    rows = distinct.select(F.col("fp").alias("node"), F.posexplode(masks).alias("choice", "mask")).select("node", "choice", F.col("node").bitwiseAND(F.col("mask")).alias("key"))
+    return bucket_links(rows, radius, tile, ["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,30 +247,96 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, bands: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, component_id: one row a document."""
-    own = staged(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), radius, tile, bands))
-    # only linked fingerprints have a root other than themselves
-    linked = classes.join(roots, classes.fp == roots.node).select("node", "root", "least")
+def named(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes: node, least; gives each node's component: its root, and the smallest id in it."""
+    roots = components(edges).select(F.col("node").alias("linked"), "root")
+    # only linked nodes have a root other than themselves
+    linked = classes.join(roots, classes.node == roots.linked).select("linked", "root", "least")
     # in two steps, so that no component meets in one task
-    parts = linked.groupBy("root", F.pmod(F.xxhash64("node"), F.lit(16))).agg(F.min("least").alias("least"))
+    parts = linked.groupBy("root", F.pmod(F.xxhash64("linked"), F.lit(16))).agg(F.min("least").alias("least"))
     names = parts.groupBy("root").agg(F.min("least").alias("name"))
-    by_fp = staged(classes.join(linked.select("node", "root").join(names, "root").select("node", "name"), classes.fp == F.col("node"), "left").select(
-        F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id")), "classes")
-    return own.join(by_fp, own.fp == by_fp.f).select("doc_id", "text_hash", "fp", "component_id")
+    linked = linked.select("linked", "root").join(names, "root").select("linked", "root", "name")
+    out = classes.join(linked, classes.node == linked.linked, "left")
+    return staged(out.select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id")), "classes")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, bands: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fp, component_id, root (a fingerprint of the component): one row a document."""
+    own = staged(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
+    classes = own.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"))
+    by_fp = named(classes, links(classes.select(F.col("node").alias("fp")), radius, tile, bands))
+    return own.join(by_fp, own.fp == by_fp.node).select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits of texts of this Jaccard similarity: their mean and two standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def sketches_of(column: pa.Array, shingle: int, minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of 2 words, and the smallest hashes of the shingles under `minima` orders; of fewer words the whole sequence is the shingle."""
+    words = Words(column, NONSPACE)
+    n_texts, count = len(words.first) - 1, words.counts()
+    fps, least = np.zeros((n_texts, 2), np.uint64), np.zeros((n_texts, minima), np.uint64)
+    hashes, owners = [], []
+    owner = words.owner()
+    for k in range(1, shingle + 1):
+        if k == shingle or (count == k).any():
+            g, ok = words.grams(k)
+            at = np.flatnonzero(ok if k == shingle else ok & (count[owner] == k))
+            hashes.append(g[at])
+            owners.append(owner[at])
+    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    h, owner = h[order], owner[order]
+    if not len(h):
+        return fps, least
+    heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    full, size = owner[heads], np.diff(np.append(heads, len(h)))
+    for i in range(minima):
+        least[full, i] = np.minimum.reduceat(mix(h + np.uint64(2 * i + 1) * np.uint64(0x9E3779B97F4A7C15)), heads)
+    weights, step = np.uint64(1) << np.arange(64, dtype=np.uint64), 1 << 15
+    for word, value in enumerate((h, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))):
+        votes = np.zeros((n_texts, 64), np.int64)
+        for a in range(0, len(h), step):  # bounded: 64 counters a shingle
+            part, mine = value[a : a + step], owner[a : a + step]
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            votes[mine[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        fps[full, word] = ((votes[full] * 2 > size[:, None]) * weights).sum(1, dtype=np.uint64)
+    return fps, least
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, minima: int = MINIMA, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, component_id, root (a text's hash): one row a document.  Copies of a text are one node, whatever their number."""
+
+    def make():
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            fps, least = sketches_of(part.column("text"), shingle, minima)
+            own = np.ascontiguousarray(least).view(np.int64)
+            return record(doc_id=part.column("doc_id"), text_hash=part.column("text_hash"), f0=pa.array(fps[:, 0].copy().view(np.int64)), f1=pa.array(fps[:, 1].copy().view(np.int64)), **{f"m{i}": pa.array(own[:, i].copy()) for i in range(minima)})
+
+        return work
+
+    columns = ["f0", "f1", *(f"m{i}" for i in range(minima))]
+    hashed = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = staged(map_texts(hashed, make, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
+    classes = own.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in columns))
+    pairs = list(combinations(range(minima), 2))
+    keys = F.array(*(F.xxhash64(f"m{i}", f"m{j}") for i, j in pairs))
+    rows = classes.select("node", "f0", "f1", F.posexplode(keys).alias("choice", "key"))
+    by_text = named(classes.select("node", "least"), bucket_links(rows, radius_of(similarity, 128), tile, ["f0", "f1"]))
+    return own.select("doc_id", "text_hash").join(by_text, F.col("text_hash") == by_text.node).select("doc_id", "text_hash", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Whole rows: of each component the one of the smallest id (nulls last; of repeated rows any one)."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    """Whole rows: of each component of `similar` texts the one of the smallest id (nulls last; of repeated rows any one)."""
+    found = similar(docs, id_col=id_col, text_col=text_col, **options)
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
-    # a component without any id is told by its fingerprint's class alone
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    kept = found.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min(order).alias("k")).select(F.col("k.b").alias("__id"), F.col("k.c").alias("__hash")).distinct()
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.b").alias("__id"), F.col("k.c").alias("__hash"))
     # the row as one struct: none of its columns can clash
-    own = F.col(f"`{text_col}`").cast("string")
+    own = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(own).alias("own"))
     rows = rows.join(kept, rows["id"].eqNullSafe(kept["__id"]) & (rows["own"] == kept["__hash"]))
     # rows repeated with id and text: one of them

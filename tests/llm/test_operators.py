@@ -420,10 +420,65 @@ def test_simhash(docs, rows, none, options):
     fps, component = brute_components(rows)
     found = simhash.near_duplicates(docs, **options).collect()
     assert Counter((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in found) == Counter((i, f, c) for (i, _), f, c in zip(rows, fps, component, strict=True))
-    if not options:
-        kept = simhash.keep_one(docs)
-        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(component))
-        assert simhash.near_duplicates(none).count() == 0 == simhash.keep_one(none).count()
+    roots = {}
+    for r in found:
+        roots.setdefault(r.root, set()).add(r.component_id)
+    assert all(len(x) == 1 for x in roots.values())
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else {None}
+
+
+def near_copies(r, text, n):
+    """Copies with some words changed, put in or taken out."""
+    out = []
+    for _ in range(n):
+        w = text.split()
+        for _ in range(r.randint(1, max(1, len(w) // 60))):
+            at, new = r.randrange(len(w)), prose(r, 1)
+            w[at : at + r.randint(0, 1)] = [new] * r.randint(0, 2)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 16}])
+def test_similar_texts_are_found_and_others_left(spark, none, options):
+    r = random.Random(21)
+    unlike = [prose(r, r.randint(20, 300)) for _ in range(150)]
+    passage = prose(r, 30)
+    unlike += [f"{prose(r, 60)} {passage} {prose(r, 60)}" for _ in range(60)]  # a passage in common is no likeness
+    groups = [[t, *near_copies(r, t, r.randint(1, 12))] for t in (prose(r, r.randint(60, 400)) for _ in range(60))]
+    rows = list(enumerate([*unlike, *(t for g in groups for t in g)]))
+    found = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    assert all(found[i] == i for i in range(len(unlike)))
+    number, hit, total = len(unlike), 0, 0
+    for g in groups:
+        own, sets = range(number, number + len(g)), [shingles(t) for t in g]
+        number += len(g)
+        assert {found[i] for i in own} <= set(own)
+        for a, b in itertools.combinations(range(len(g)), 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                total += 1
+                hit += found[own[a]] == found[own[b]]
+    assert total > 500 and hit >= 0.98 * total
+
+
+def test_one_document_of_each_group_stays(spark, docs, rows, none):
+    r = random.Random(3)
+    base = prose(r, 200)
+    more = [(5, "x " + base), (5, base), (None, base + " y"), (None, prose(r, 90)), (None, None), (8, ""), (9, "ba do"), (10, "ba do"), (11, "ba ki")]
+    made = spark.createDataFrame(more * 2, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "own", "n", "root", "node", "f0", "m0", "__id", "component_id")})
+    kept = simhash.keep_one(made)
+    assert kept.columns == made.columns
+    got = sorted((str(x.doc_id), x.text or "") for x in kept.collect())
+    assert [i for i, _ in got] == ["11", "5", "8", "9", "None"] and got[-1][1] == more[3][1] and got[1][1] in (more[0][1], more[1][1])
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(none).count() == 0
+    # components that hold rows of one id are two groups all the same
+    two = spark.createDataFrame([(5, base), (5, prose(r, 150))], "doc_id long, text string")
+    assert simhash.keep_one(two).count() == 2
 
 
 def test_bit_sliced_comparison_and_long_chains(spark):
