@@ -295,7 +295,7 @@ def sketches_of(column: pa.Array, shingle: int, minima: int) -> tuple[np.ndarray
     heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     full, size = owner[heads], np.diff(np.append(heads, len(h)))
     for i in range(minima):
-        least[full, i] = np.minimum.reduceat(mix(h + np.uint64(2 * i + 1) * np.uint64(0x9E3779B97F4A7C15)), heads)
+        least[full, i] = np.minimum.reduceat(mix(h + np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), heads)
     weights, step = np.uint64(1) << np.arange(64, dtype=np.uint64), 1 << 15
     for word, value in enumerate((h, mix(h ^ np.uint64(0xD6E8FEB86659FD93)))):
         votes = np.zeros((n_texts, 64), np.int64)
