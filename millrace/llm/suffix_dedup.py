@@ -5,11 +5,15 @@ such a gram (anchors) are enough to find every repeated string, since equal stri
 equal places.  The steps:
 
 1. texts are stored once in compressed units of about UNIT bytes;
-2. each unit's distinct anchor hashes meet in hash buckets; those in two units or more go back to their units;
+2. each unit's distinct anchor hashes meet in hash buckets; those in two units or more go back to their units, with a level by the
+   number of units that hold them.  Above `hash_units` units they are counted in groups of units first;
 3. units cut out the bytes around such anchors (what any string of `length` bytes over the anchor can reach).
    Of equal surroundings within a unit only those of the smallest document go on: the others are
    removed already.  So a hot passage sends one row a unit, however many documents hold it; above `group_units` units
-   the same is done over groups of units, level by level, before a bucket meets its rows;
+   the same is done over groups of units, level by level, before a bucket meets its rows.  An anchor in more than `frequent[0]`
+   units does not go to one bucket: the strings over it are split by how far they reach to its right, into 3 stretches, and in more than
+   `frequent[1]` units into one for each string.  What all strings of a stretch share is longer than the anchor, so
+   different surroundings go to different buckets, and those equal within a stretch are combined as above;
 4. in a bucket, the suffixes that begin at anchors are sorted to `length` bytes by bucket-pointer refinement.  The q-grams at an
    offset give the initial buckets of the suffixes that begin there; beginning with the last offsets, each bucket is refined by
    sorting on the bucket pointers of the suffixes `q` further on, which are refined already, and the new
@@ -43,6 +47,8 @@ LENGTH, GRAM = 50, 24
 UNIT = 2 << 20
 #: Bytes of text for one bucket of hashes and for one of surroundings, and the fewest buckets; units that meet in one step.
 HASH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, GROUP_UNITS = 32 << 20, 4 << 20, 64, 4096
+#: Units whose hashes meet in one step; units that hold an anchor, above which its strings are split by stretches, and each for itself.
+HASH_UNITS, FREQUENT = 1 << 16, (1 << 12, 1 << 16)
 #: Bytes of the grams that give initial buckets.
 Q = 8
 _NONE = np.iinfo(np.int64).max
@@ -147,18 +153,69 @@ def _send_hashes(batches, buckets: int, length: int, gram: int):
             yield record(bucket=pa.array(names, pa.int64()), unit=pa.array([row["unit"]] * len(names), pa.int64()), keys=pa.array(blobs, pa.binary()))
 
 
-def _shared(t: pa.Table) -> pa.Table:
+def _by_level(k: np.ndarray, every: np.ndarray, level: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Those of the keys k that are among `every` (in order), for each level of theirs; below level 0 none."""
+    if len(every):
+        at = np.minimum(np.searchsorted(every, k), len(every) - 1)
+        own = np.where(every[at] == k, level[at], -1)
+        for x in np.unique(own[own >= 0]).tolist():
+            yield x, _zip(_five(k[own == x]))
+
+
+def _level(units: np.ndarray, frequent: tuple[int, int]) -> np.ndarray:
+    return np.where(units > 1, (units[:, None] > np.array(frequent)).sum(1), -1)
+
+
+_ANSWER = pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("keys", pa.binary())])
+
+
+def _answered(t: pa.Table, keys: list[np.ndarray], every: np.ndarray, level: np.ndarray) -> pa.Table:
+    rows = [(u, b, x, data) for u, b, k in zip(t.column("unit").to_pylist(), t.column("bucket").to_pylist(), keys, strict=True) for x, data in _by_level(k, every, level)]
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else ([],) * 4, _ANSWER, strict=True)], schema=_ANSWER)
+
+
+def _shared(t: pa.Table, frequent: tuple[int, int]) -> pa.Table:
     """Of one bucket: the keys that two units or more have, for each unit that has them."""
     keys = [_eight(x) for x in t.column("keys").to_pylist()]
-    every = np.sort(np.concatenate(keys))
-    common = np.unique(every[1:][every[1:] == every[:-1]])
-    unit, bucket, out, blobs = t.column("unit").to_pylist(), t.column("bucket").to_pylist(), [], []
-    for u, b, k in zip(unit, bucket, keys, strict=True):
-        own = k[np.isin(k, common, assume_unique=True)] if len(common) else k[:0]
-        if len(own):
-            out.append((u, b))
-            blobs.append(_zip(_five(own)))
-    return pa.table({"unit": pa.array([u for u, _ in out], pa.int64()), "bucket": pa.array([b for _, b in out], pa.int64()), "keys": pa.array(blobs, pa.binary())})
+    every, units = np.unique(np.concatenate(keys), return_counts=True)
+    return _answered(t, keys, every, _level(units, frequent))
+
+
+def _counted(t: pa.Table) -> pa.Table:
+    """Of one bucket and a group of units: its keys, and in how many of the units each is."""
+    every, units = np.unique(np.concatenate([_eight(x) for x in t.column("keys").to_pylist()]), return_counts=True)
+    return pa.table({"bucket": t.column("bucket")[:1], "group": t.column("group")[:1], "keys": pa.array([_zip(_five(every))], pa.binary()), "units": pa.array([_zip(units.astype("<i8"))], pa.binary())})
+
+
+def _common(t: pa.Table, frequent: tuple[int, int]) -> pa.Table:
+    """Of one bucket and all groups: the keys that two units or more have, for each group that has them."""
+    keys = [_eight(x) for x in t.column("keys").to_pylist()]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    units = np.zeros(len(every), np.int64)
+    np.add.at(units, at, np.concatenate([_unzip(x, "<i8") for x in t.column("units").to_pylist()]))
+    level = _level(units, frequent)
+    rows = [(g, x, data) for g, k in zip(t.column("group").to_pylist(), keys, strict=True) for x, data in _by_level(k, every, level)]
+    return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(rows), pa.int64()), "group": pa.array([g for g, _, _ in rows], pa.int64()), "level": pa.array([x for _, x, _ in rows], pa.int32()), "keys": pa.array([d for _, _, d in rows], pa.binary())})
+
+
+def _handed_on(t: pa.Table, common: pa.Table) -> pa.Table:
+    """Of one bucket and a group of units: what `_common` found, for each unit."""
+    found = [_eight(x) for x in common.column("keys").to_pylist()]
+    every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    level = np.repeat(np.array(common.column("level").to_pylist(), np.int64), [len(x) for x in found])
+    order = np.argsort(every)
+    return _answered(t, [_eight(x) for x in t.column("keys").to_pylist()], every[order], level[order])
+
+
+def shared_keys(hashes: DataFrame, n_units: int, hash_units: int, frequent: tuple[int, int]) -> DataFrame:
+    """hashes: bucket, unit, keys.  unit, bucket, level, keys: those in two units or more.  No task meets more than `hash_units` units or groups of them."""
+    schema = "unit long, bucket long, level int, keys binary"
+    if n_units <= hash_units:
+        return hashes.groupBy("bucket").applyInArrow(lambda t: _shared(t, frequent), schema)
+    hashes = staged(hashes.withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(-(-n_units // hash_units)))), "hashes")
+    counted = hashes.groupBy("bucket", "group").applyInArrow(_counted, "bucket long, group long, keys binary, units binary")
+    common = counted.groupBy("bucket").applyInArrow(lambda t: _common(t, frequent), "bucket long, group long, level int, keys binary")
+    return hashes.groupBy("bucket", "group").cogroup(common.groupBy("bucket", "group")).applyInArrow(_handed_on, schema)
 
 
 def _packed(start: np.ndarray, end: np.ndarray) -> bytes:
@@ -175,6 +232,16 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[head], end[np.append(np.flatnonzero(head)[1:] - 1, len(end) - 1)]
 
 
+def stretches(side: int, level: int) -> list[tuple[int, int]]:
+    """How far strings reach to the right of an anchor, from and to, by level: all as one, in 3, each for itself."""
+    return [(int(p[0]), int(p[-1])) for p in np.array_split(np.arange(side + 1), min((1, 3, side + 1)[level], side + 1))]
+
+
+def _aside(unit: int, buckets: int) -> int:
+    """The bucket where what is removed already passes through; not that of its bytes, where a hot passage would bring all units' rows."""
+    return (unit * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % buckets
+
+
 def _send_surroundings(batches, hash_buckets: int, buckets: int, length: int, gram: int):
     side = length - gram
     for batch in batches:
@@ -185,11 +252,12 @@ def _send_surroundings(batches, hash_buckets: int, buckets: int, length: int, gr
             order = np.lexsort((key, bucket))
             at, bucket, key, h = at[order], bucket[order], key[order], h[order]
             doc = np.searchsorted(unit.bounds, at, "right") - 1
-            wanted = np.zeros(len(at), bool)
+            wanted, level = np.zeros(len(at), bool), np.zeros(len(at), np.int8)
             cut = np.searchsorted(bucket, np.arange(hash_buckets + 1))
             for x in row["lists"] or ():
                 a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
-                wanted[a:b] = np.isin(key[a:b], _eight(x["keys"]))
+                own = a + np.flatnonzero(np.isin(key[a:b], _eight(x["keys"])))
+                wanted[own], level[own] = True, x["level"]
             again = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
             first = np.flatnonzero(np.concatenate(([True], ~again))) if len(at) else np.zeros(0, np.int64)
             if len(at):
@@ -197,34 +265,46 @@ def _send_surroundings(batches, hash_buckets: int, buckets: int, length: int, gr
                 low, high = np.minimum.reduceat(unit.doc[doc], first), np.maximum.reduceat(unit.doc[doc], first)
                 wanted |= (low != high)[number]
             pick = np.flatnonzero(wanted)
-            at, bucket, doc = at[pick], (h[pick] % np.uint64(buckets)).astype(np.int64), doc[pick]
-            # what a string over the anchor can reach within its text; beyond it zeros that are never looked at
+            at, doc, h, level = at[pick], doc[pick], h[pick], level[pick]
+            # what a string over the anchor can reach within its text
             left, right = np.minimum(at - unit.bounds[doc], side), np.minimum(unit.bounds[doc + 1] - at - gram, side)
-            place = at[:, None] + np.arange(-side, gram + side)
-            inside = (place >= (at - left)[:, None]) & (place < (at + gram + right)[:, None])
-            around = np.where(inside, unit.raw[np.clip(place, 0, max(len(unit.raw) - 1, 0))], 0).astype(np.uint8) if len(at) else np.zeros((0, gram + 2 * side), np.uint8)
-            removed_a, removed_b = [], []
-            if len(at):
-                same = alike(around, left, right, length, gram)
-                later = repeated_alike(same, unit.doc[doc])
-                some = later & (left + right + gram >= length)
-                removed_a, removed_b = _merged(at[some] - left[some], (at + gram + right)[some])
-                keep = ~later
-                at, bucket, doc, around, left, right = (x[keep] for x in (at, bucket, doc, around, left, right))
-            out: dict[str, list] = {"bucket": [], "unit": [], "n": [], "meta": [], "around": []}
-            for b, rows in _by_bucket(bucket):
-                rows = rows[np.argsort(at[rows])]
-                out["bucket"].append(b)
-                out["n"].append(len(rows))
-                out["meta"].append(_zip(np.concatenate((at[rows], unit.doc[doc[rows]], left[rows], right[rows])).astype("<i8")))
-                out["around"].append(_zip(around[rows]))
-            if len(removed_a):  # these pass through to the end
-                out["bucket"].append(row["unit"] % buckets)
-                out["n"].append(0)
-                out["meta"].append(_packed(np.asarray(removed_a), np.asarray(removed_b)))
-                out["around"].append(b"")
-            if out["bucket"]:
-                yield record(bucket=pa.array(out["bucket"], pa.int64()), unit=pa.array([row["unit"]] * len(out["bucket"]), pa.int64()), n=pa.array(out["n"], pa.int64()), meta=pa.array(out["meta"], pa.binary()), around=pa.array(out["around"], pa.binary()))
+            prefix = prefix_hash(byte_values(unit.raw)) if level.any() else None
+            for x in np.unique(level).tolist():
+                for a, b in stretches(side, x):
+                    rows = np.flatnonzero((level == x) & (left >= side - b) & (right >= a))
+                    if len(rows):
+                        # by what all strings of the stretch share
+                        same = span_hash(prefix, at[rows] - (side - b), at[rows] + gram + a) if x else h[rows]
+                        sent = _sent(unit, row["unit"], at[rows], doc[rows], np.minimum(left[rows], side - a), np.minimum(right[rows], b), (same % np.uint64(buckets)).astype(np.int64), buckets)
+                        if sent.num_rows:
+                            yield sent
+
+
+def _sent(unit: Unit, name: int, at: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: the surroundings of its anchors, beyond left and right zeros that are never looked at; and a row for what is removed already."""
+    length, gram = unit.length, unit.gram
+    side = length - gram
+    place = at[:, None] + np.arange(-side, gram + side)
+    inside = (place >= (at - left)[:, None]) & (place < (at + gram + right)[:, None])
+    around = np.where(inside, unit.raw[np.clip(place, 0, len(unit.raw) - 1)], 0).astype(np.uint8)
+    later = repeated_alike(alike(around, left, right, length, gram), unit.doc[doc])
+    some = later & (left + right + gram >= length)
+    removed_a, removed_b = _merged(at[some] - left[some], (at + gram + right)[some])
+    keep = ~later
+    at, bucket, doc, around, left, right = (x[keep] for x in (at, bucket, doc, around, left, right))
+    out: dict[str, list] = {"bucket": [], "n": [], "meta": [], "around": []}
+    for b, rows in _by_bucket(bucket):
+        rows = rows[np.argsort(at[rows])]
+        out["bucket"].append(b)
+        out["n"].append(len(rows))
+        out["meta"].append(_zip(np.concatenate((at[rows], unit.doc[doc[rows]], left[rows], right[rows])).astype("<i8")))
+        out["around"].append(_zip(around[rows]))
+    if len(removed_a):  # these pass through to the end
+        out["bucket"].append(_aside(name, buckets))
+        out["n"].append(0)
+        out["meta"].append(_packed(removed_a, removed_b))
+        out["around"].append(b"")
+    return record(bucket=pa.array(out["bucket"], pa.int64()), unit=pa.array([name] * len(out["bucket"]), pa.int64()), n=pa.array(out["n"], pa.int64()), meta=pa.array(out["meta"], pa.binary()), around=pa.array(out["around"], pa.binary()))
 
 
 def refine(buckets: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -308,7 +388,7 @@ def _opened(t: pa.Table, length: int, gram: int):
     return passing, full, (at, doc, left, right, np.concatenate(around) if full else None, np.repeat(np.arange(len(full)), [n[i] for i in full]))
 
 
-def _combine(t: pa.Table, length: int, gram: int, width: int) -> pa.Table:
+def _combine(t: pa.Table, length: int, gram: int, width: int, buckets: int) -> pa.Table:
     """Of a bucket and some units: of equal surroundings those of the smallest document go on, as within a unit."""
     passing, full, (at, doc, left, right, around, where) = _opened(t, length, gram)
     rows = {c: t.column(c).take(pa.array(passing, pa.int64())).to_pylist() for c in t.schema.names}
@@ -324,7 +404,7 @@ def _combine(t: pa.Table, length: int, gram: int, width: int) -> pa.Table:
                 for c in rows:
                     rows[c].append(new.get(c, row[c]))
             if len(drop := here[some[here]]):
-                new = {"n": 0, "meta": _packed(*_merged(at[drop] - left[drop], (at + gram + right)[drop])), "around": b""}
+                new = {"bucket": _aside(row["unit"], buckets), "n": 0, "meta": _packed(*_merged(at[drop] - left[drop], (at + gram + right)[drop])), "around": b""}
                 for c in rows:
                     rows[c].append(new.get(c, row[c]))
     rows["group"] = [g // width for g in rows["group"]]
@@ -368,7 +448,7 @@ def _finish(batches, length: int, gram: int):
             yield record(doc_id=pa.array(ids, pa.int64()), n_bytes=pa.array(size, pa.int64()), n_removed=pa.array(cut, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept_sha256=pa.array(digest, pa.string()), removed=pa.array(spans, pa.list_(pa.list_(pa.int64()))))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT, group_units: int = GROUP_UNITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT, group_units: int = GROUP_UNITS, hash_units: int = HASH_UNITS, frequent: tuple[int, int] = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed: the [start, end) byte stretches."""
     if not 8 <= gram <= length or length - gram > 250:
         raise ValueError("8 <= gram <= length <= gram + 250")
@@ -380,14 +460,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     by_unit = lambda df: df.repartition(max(most, size.n // 4), "unit")
     rows = by_unit(stored.select("unit", "data", "ids", "sizes"))
     hashes = stored.select("unit", "data", "ids", "sizes").mapInArrow(lambda b: _send_hashes(b, hash_buckets, length, gram), "bucket long, unit long, keys binary")
-    shared = hashes.groupBy("bucket").applyInArrow(_shared, "unit long, bucket long, keys binary")
-    lists = by_unit(shared).groupBy("unit").agg(F.collect_list(F.struct("bucket", "keys")).alias("lists"))
+    lists = by_unit(shared_keys(hashes, size.n, hash_units, frequent)).groupBy("unit").agg(F.collect_list(F.struct("bucket", "level", "keys")).alias("lists"))
     around = rows.join(lists, "unit", "left").mapInArrow(lambda b: _send_surroundings(b, hash_buckets, buckets, length, gram), "bucket long, unit long, n long, meta binary, around binary")
     groups = -(-size.n // group_units)
     if groups > 1:
         around = around.withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(groups)))
         while groups > 1:
-            around = around.groupBy("bucket", "group").applyInArrow(lambda t: _combine(t, length, gram, group_units), around.schema)
+            around = around.groupBy("bucket", "group").applyInArrow(lambda t: _combine(t, length, gram, group_units, buckets), around.schema)
             groups = -(-groups // group_units)
     around = around.repartition(max(most, buckets // 2), "bucket")
     gone = around.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length, gram), "unit long, gone binary")

@@ -273,13 +273,73 @@ def test_suffix_dedup(docs, rows, none):
         return len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()
 
     # small units, and groups of two of them, level by level
-    for options in ({}, {"unit_bytes": 4000, "group_units": 2}, {"unit_bytes": 4000}):
+    for options in ({}, {"unit_bytes": 4000, "group_units": 2}, {"unit_bytes": 4000}, {"unit_bytes": 4000, "group_units": 2, "hash_units": 2, "frequent": (1, 2)}):
         found = suffix_dedup.remove_repeats(docs, **options).collect()
         agree(found, rows, lambda r: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), brute)
         assert sum(r.n_removed > 0 for r in found) > 10
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def frequent_passages():
+    """A link, a passage below and one above the length, all in every document and each time among other words; and a text of copies."""
+    r = random.Random(8)
+    link, short, long = "https://www.example.com/archive/", prose(r, 20)[:45], prose(r, 40)[:70]
+    rows = [(i, "".join(f"{r.getrandbits(90):x}{x}{r.getrandbits(90):x}" for x in r.sample([link, short, long], 3))) for i in range(150)]
+    return [*rows, (150, rows[3][1] * 3), (3, rows[9][1]), (None, rows[4][1])]
+
+
+def removed_by_force(rows):
+    first = {}
+    for i, t in rows:
+        t = t.encode()
+        for a in range(len(t) - 49):
+            first[t[a : a + 50]] = min(first.get(t[a : a + 50], float("inf")), float("inf") if i is None else i)
+
+    def runs(i, t):
+        t = t.encode()
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 49):
+            if first[t[a : a + 50]] < (float("inf") if i is None else i):
+                gone[a : a + 50] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
+        return tuple(edge.tolist())
+
+    return runs
+
+
+@pytest.mark.parametrize("frequent, hash_units", [((2, 5), 4), ((0, 10**6), 10**6), ((0, 0), 3), ((10**6, 10**6), 2)])
+def test_suffix_dedup_of_frequent_strings(spark, frequent, hash_units):
+    rows = frequent_passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = suffix_dedup.remove_repeats(docs, unit_bytes=2000, group_units=3, hash_units=hash_units, frequent=frequent).collect()
+    agree(found, rows, lambda r: tuple(x for p in r.removed for x in p), removed_by_force(rows))
+
+
+def test_suffix_dedup_splits_frequent_strings(spark):
+    """No bucket gets the surroundings of a frequent string from all units, once equal ones have met."""
+    rows = frequent_passages()[:150]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    units = pa.Table.from_pylist([r.asDict() for r in suffix_dedup.units(docs, 1000).collect()]).to_batches(max_chunksize=1)
+    hashes = pa.Table.from_batches(list(suffix_dedup._send_hashes(units, 1, 50, 24)))
+    # an anchor or stretch that goes to one bucket is in 5 units at most, in each of these once a document
+    bound = 5 * max(len(u.column("ids")[0]) for u in units)
+    assert bound < 50
+    largest = {}
+    for frequent in ((2, 5), (10**6, 10**6)):
+        shared = suffix_dedup._shared(hashes, frequent).to_pylist()
+        lists = [[x for x in shared if x["unit"] == u.column("unit")[0].as_py()] for u in units]
+        sent = pa.Table.from_batches(list(suffix_dedup._send_surroundings([pa.RecordBatch.from_pylist([u.to_pylist()[0] | {"lists": x}]) for u, x in zip(units, lists, strict=True)], 1, 1 << 30, 50, 24)))
+        sent, size = sent.append_column("group", pa.array([0] * sent.num_rows, pa.int64())), Counter()
+        for b, n in zip(sent.column("bucket").to_pylist(), sent.column("n").to_pylist(), strict=True):
+            size[b] += n
+        largest[frequent] = 0
+        for b in (b for b, n in size.items() if n > bound):
+            met = suffix_dedup._combine(sent.filter(pa.compute.equal(sent.column("bucket"), b)), 50, 24, 1, 1 << 30)
+            rest = sum(n for n, own in zip(met.column("n").to_pylist(), met.column("bucket").to_pylist(), strict=True) if own == b)
+            largest[frequent] = max(largest[frequent], rest)
+    assert largest[10**6, 10**6] >= 150 and largest[2, 5] <= bound
+
+
 def test_bucket_pointers_sort_suffixes():
     r = np.random.default_rng(5)
     for n, size in ((1, 50), (2, 8), (300, 50), (300, 13), (400, 3)):
